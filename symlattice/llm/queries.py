@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import mixing, sharding, simhash
+from symlattice.llm import bpe, mixing, sharding, simhash, tokenstore
+from symlattice.staging import staged_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,34 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of their bytes."""
+    import public_tokenizers
+
+    done = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(done)
+
+
+def digests(done: DataFrame) -> DataFrame:
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files say of every document."""
+    import public_tokenizers
+
+    path = staged_path(spark, "tokens")
+    tokenstore.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenstore.read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op9_bpe": op9_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 #: Only what SQL can express; the others are tested against brute force in tests/llm.
