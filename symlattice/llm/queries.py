@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, mixing, sharding, simhash, tokenstore
+from symlattice.llm import bpe, mixing, quality, sharding, simhash, tokenstore, toxicity
 from symlattice.staging import staged_path
 
 
@@ -15,12 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, weak label, votes, and whether it stays."""
+    done = quality.classify(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), F.col("quality_score").alias("score"), "weak_label", "votes", "kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; labels of the fold that is held out are not seen."""
+    done = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place among 40 shards under the law `rows`."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
@@ -56,7 +68,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op9_bpe": op9_bpe,
