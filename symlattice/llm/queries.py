@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, mixing, quality, sharding, simhash, tokenstore, toxicity
+from symlattice.llm import bpe, linededup, mixing, quality, sharding, simhash, tokenstore, toxicity
 from symlattice.staging import staged_path
 
 
@@ -45,6 +45,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones, and which those are."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "removed_lines", F.size("removed_lines").cast("long").alias("n_removed"), "text")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of their bytes."""
     import public_tokenizers
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }
