@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,64 +19,52 @@ from symlattice.llm.pretokens import ChunkEncoder
 FLUSH = 1 << 21
 
 
+BIT = [1 << i for i in range(256)]
+
+
 class RankQueue:
-    """A priority queue over ranks below n. Each rank has a bucket of positions, least first.
+    """A priority queue over ranks. Each rank has a bucket of positions, least first.
 
-    A bit for each rank says whether its bucket has entries, and a bit on the next level whether any of
-    64 bits below is set, up to one word: push, first and pop touch one word a level, whatever the length.
+    A bit for each rank says whether its bucket has entries, in words of 256 bits; a bit of the word
+    above says whether any of them is set. push and pop touch one word on either level, whatever the
+    length of the text: the least rank is found by two find-first-set operations.
     """
 
     def __init__(self, n: int):
-        self.buckets: list[list[int] | None] = [None] * n
-        self.levels: list[list[int]] = []
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * max(n, 1))
-            if n <= 1:
-                break
+        self.buckets: dict[int, list[int]] = {}
+        self.words = [0] * ((n + 255) >> 8)
+        self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.buckets[rank] = [position]
+            self.words[rank >> 8] |= BIT[rank & 255]
+            self.top |= 1 << (rank >> 8)
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word = rank >> 6
-            was = level[word]
-            level[word] = was | 1 << (rank & 63)
-            if was:
-                return
-            rank = word
-
-    def first(self) -> int:
-        """The least rank with an entry; -1 if there is none."""
-        if not self.levels[-1][0]:
-            return -1
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = at << 6 | ((word & -word).bit_length() - 1)
-        return at
-
-    def pop(self, rank: int) -> int:
+
+    def pop(self) -> tuple[int, int]:
+        """The least rank and its least position, which leaves the queue; it must not be empty."""
+        top = self.top
+        at = (top & -top).bit_length() - 1
+        word = self.words[at]
+        rank = at << 8 | ((word & -word).bit_length() - 1)
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        word &= word - 1  # without the bit found
+        self.words[at] = word
+        if not word:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Codec:
     """Encoding and decoding by a table of ranks, each match of the pattern by itself; no special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1 << 18):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1 << 19):
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.vocabulary: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -82,6 +72,7 @@ class Codec:
         self.queue = RankQueue(len(self.vocabulary))
         # Rust's \s is the property White_Space; Python's has the four separators 1C to 1F besides
         self.matches = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
+        self.most, self.pieces = most, dict[str, list[int]]()
         self.chunks = ChunkEncoder(self.encode_chunk, most)
 
     @classmethod
@@ -96,50 +87,63 @@ class Codec:
         ranks, queue = self.ranks, self.queue
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-
-        def look(i: int) -> None:
-            """The pair of the token at i and the next one enters the queue."""
-            j = end[i]
-            rank = -1
-            if j < n and end[j] - i <= self.longest:
-                rank = ranks.get(piece[i : end[j]], -1)
-            pair[i] = rank
+        n, push, get, longest = len(piece), queue.push, ranks.get, self.longest
+        # a token begins at i and ends before end[i]; pair[i] is the rank of it and the next one, or -1
+        end, before = list(range(1, n + 2)), list(range(-1, n))
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]
+        pair[n - 1] = -1
+        for i, rank in enumerate(pair):
             if rank >= 0:
-                queue.push(rank, i)
-
-        for i in range(n - 1):
-            look(i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
+                push(rank, i)
+        while queue.top:
+            rank, i = queue.pop()
             if pair[i] != rank:  # stale: a neighbour was merged meanwhile
                 continue
             j = end[i]
-            end[i] = end[j]
             pair[j] = -1
-            if end[i] < n:
-                before[end[i]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
+            j = end[i] = end[j]
+            before[j] = i
+            rank = get(piece[i : end[j]], -1) if j < n and end[j] - i <= longest else -1
+            pair[i] = rank
+            if rank >= 0:
+                push(rank, i)
+            h = before[i]
+            if h >= 0:
+                rank = get(piece[h:j], -1) if j - h <= longest else -1
+                pair[h] = rank
+                if rank >= 0:
+                    push(rank, h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
     def encode_chunk(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.matches(text):
-            out += self.merge(piece.encode("utf-8", "replace"))
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.merge(piece.encode("utf-8", "replace"))
+                if len(piece) < 64:
+                    if len(self.pieces) >= self.most:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
+            out += ids
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return self.chunks.ids(text) if text else []
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.chunks.ids(text or "")
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+@lru_cache(maxsize=2)
+def shared_codec(path: str, pattern: str) -> Codec:
+    """One codec for all tasks of a worker process, so that its vocabulary and chunks are learnt once."""
+    return Codec.from_file(path, pattern)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,12 +158,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     schema = plain.select("id", F.array(F.lit(0)).alias("ids"), F.lit(b"").alias("decoded")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.from_file(ranks_path, pattern)
+        codec = shared_codec(ranks_path, pattern)
         for batch in batches:
             names, start, ids, decoded, held = batch.column(0), 0, [], [], 0
             for i, text in enumerate(batch.column(1)):
                 mine = codec.encode(text.as_py())
-                ids.append(pa.array(mine, pa.int32()))
+                ids.append(pa.array(mine.view(np.int32)))
                 decoded.append(codec.decode(mine))
                 held += len(mine)
                 if held >= FLUSH or i == batch.num_rows - 1:

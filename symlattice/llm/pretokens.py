@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+
+import numpy as np
 
 #: Characters that are worked on at a time.
 SPAN = 1 << 20
@@ -23,14 +24,19 @@ def _blank_beside_space(text: str) -> bool:
 
 
 class _Cache(dict):
+    """Answers by chunk. When it is full it becomes the old half, which is asked once more before it goes."""
+
     def __init__(self, encode: Callable[[str], Sequence[int]], lead: str, most: int):
         super().__init__()
-        self.encode, self.lead, self.most = encode, lead, most
+        self.encode, self.lead, self.most, self.old = encode, lead, most, {}
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = tuple(self.encode(self.lead + chunk))
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = np.array(self.encode(self.lead + chunk), "<u4").tobytes()
         if len(chunk) < 200:
             self[chunk] = ids
         return ids
@@ -39,14 +45,12 @@ class _Cache(dict):
 class ChunkEncoder:
     """Token ids of whole texts. encode gives one string's ids; `most` bounds the chunks remembered."""
 
-    def __init__(self, encode: Callable[[str], Sequence[int]], most: int = 1 << 18):
+    def __init__(self, encode: Callable[[str], Sequence[int]], most: int = 1 << 19):
         self.after_space, self.plain = _Cache(encode, " ", most), _Cache(encode, "", most)
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self._spans(text):
-            out += self._ids(part)
-        return out
+    def ids(self, text: str) -> np.ndarray:
+        """Unsigned 32-bit numbers; of a text without characters none."""
+        return np.frombuffer(b"".join(map(self._ids, self._spans(text))), "<u4")
 
     def _spans(self, text: str) -> Iterator[str]:
         """Parts of about SPAN characters that begin at a cut, or the rest where there is none."""
@@ -56,13 +60,13 @@ class ChunkEncoder:
             at = cut.start()
         yield text[at:] if at else text
 
-    def _ids(self, text: str) -> list[int]:
+    def _ids(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
         lead = text[0] == " "
         if text[-1] == " " or _blank_beside_space(text):
             lead, (first, *rest) = False, _PLAIN_SPACE.split(text)
         else:
             first, *rest = (text[1:] if lead else text).split(" ")
         here = self.after_space if lead else self.plain
-        return [*here[first], *chain.from_iterable(map(self.after_space.__getitem__, rest))]
+        return here[first] + b"".join(map(self.after_space.__getitem__, rest))
