@@ -1,10 +1,428 @@
-"""The registered graph queries and their SQL."""
+"""The registered graph queries over the adapter's code graph, and their SQL for other engines.
+
+The SQL says the same in another way: recursive common table expressions with set semantics.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from symlattice.functions import names as N
+from symlattice.operators import closure as C
+from symlattice.operators import resolve as R
+from symlattice.operators.entity import EntityGraph
+from symlattice.operators.graph import Graph
+from symlattice.plans.pattern import Engine
+from symlattice.plans.rules import Program
+from symlattice.sources.adapter import catalog, entry, expanded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _with(*used: str, recursive: bool = False, more: str = "") -> str:
+    parts = [f"{u} AS ({expanded(u)})" for u in used]
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join([*parts, *([more] if more else [])]) + " "
+
+
+def query(sql: str = "", used: tuple[str, ...] = (), recursive: bool = False, more: str = ""):
+    """Registers a query, with its SQL over the named tables of the adapter."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = _with(*used, recursive=recursive, more=more) + sql
+        return f
+
+    return add
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph(catalog(spark, sf_dir))
+
+
+def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entry(spark, sf_dir, "strong")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entry(spark, sf_dir, "calls").select("a", "b")
+
+
+_CALLS = "calls AS (SELECT DISTINCT a, b FROM site)"
+_SEED = "seed AS (SELECT min(a) AS a FROM calls)"
+
+
+def seed(c: DataFrame) -> DataFrame:
+    return c.agg(F.min("a").alias("a"))
+
+
+# --- scans and lookups
+
+
+@query("SELECT id, name, kind FROM (SELECT id, spelling AS name, kind, access FROM symbol) x WHERE kind = 21 AND access = 'public'", ("symbol",))
+def scan_filter(spark, sf_dir):
+    return entry(spark, sf_dir, "symbol").where("kind = 21 and access = 'public'").select("id", F.col("spelling").alias("name"), "kind")
+
+
+_FIND = "SELECT id, qual_name AS name FROM symbol WHERE {} ORDER BY length(qual_name), qual_name, id LIMIT 50"
+
+
+@query(_FIND.format("qual_name = 'red_widget'"), ("symbol",))
+def find_exact(spark, sf_dir):
+    return graph(spark, sf_dir).find("red_widget").select("id", "name")
+
+
+@query(_FIND.format("lower(qual_name) LIKE 'asia::%'"), ("symbol",))
+def find_prefix(spark, sf_dir):
+    return graph(spark, sf_dir).find("asia::").select("id", "name")
+
+
+@query(_FIND.format("lower(qual_name) LIKE '%frica%tion\\_1%' ESCAPE '\\'"), ("symbol",))
+def find_fuzzy(spark, sf_dir):
+    return graph(spark, sf_dir).find("frica::TION_1").select("id", "name")
+
+
+@query("SELECT kind, count(*) AS total FROM symbol GROUP BY kind", ("symbol",))
+def symbols_by_kind(spark, sf_dir):
+    return entry(spark, sf_dir, "symbol").groupBy("kind").agg(F.count("*").alias("total"))
+
+
+# --- hops
+
+
+@query("SELECT src_id AS id, dst_id AS peer, kind, count FROM edge", ("edge",))
+def edges_out(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    # the adapter's counts are rolled up already
+    g.is_resolved = lambda: True
+    return g.hops(None, "out", None, None).select("id", "peer", "kind", "count")
+
+
+@query("SELECT dst_id AS id, src_id AS peer, kind FROM edge WHERE kind IN (1, 7)", ("edge",))
+def references(spark, sf_dir):
+    return graph(spark, sf_dir).references(None, limit=1 << 30).select("id", "peer", "kind")
+
+
+@query("SELECT DISTINCT src_id AS id, dst_id AS peer FROM edge WHERE kind IN (2, 6)", ("edge",))
+def neighbors_kind(spark, sf_dir):
+    return graph(spark, sf_dir).neighbors(None, ["inherits", "overrides"], limit=1 << 30)
+
+
+@query("SELECT DISTINCT src_id AS id, dst_id AS peer FROM edge WHERE kind = 3 UNION SELECT DISTINCT dst_id, src_id FROM edge WHERE kind IN (8, 9)", ("edge",))
+def members_union(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return g.members(g.c["symbol"].select("id"))
+
+
+# --- recursion
+
+
+@query("SELECT a, b FROM r", ("strong",), True, "r(a, b) AS (SELECT a, b FROM strong UNION SELECT r.a, s.b FROM r JOIN strong s ON s.a = r.b)")
+def closure_full(spark, sf_dir):
+    return C.reach(strong(spark, sf_dir)).select("a", "b")
+
+
+@query("SELECT a, b FROM r", ("strong",), True, "r(a, b) AS (SELECT a, b FROM strong UNION SELECT r.a, s.b FROM r JOIN strong s ON s.a = r.b)")
+def closure_by_rounds(spark, sf_dir):
+    """The same by the way that large graphs take."""
+    return C.reach(strong(spark, sf_dir), small=0).select("a", "b")
+
+
+_REACH = f"{_CALLS}, {_SEED}, r(a, b) AS (SELECT c.a, c.b FROM calls c JOIN seed s ON s.a = c.a UNION SELECT r.a, c.b FROM r JOIN calls c ON c.a = r.b)"
+
+
+@query("SELECT r.a AS caller, r.b AS callee, s.qual_name AS name FROM r JOIN symbol s ON s.id = r.b", ("symbol", "site"), True, _REACH)
+def reach_seeded(spark, sf_dir):
+    """Which functions can be reached from the first caller, with their names."""
+    c = calls(spark, sf_dir)
+    found = C.reach(c, seed(c)).select(F.col("a").alias("caller"), F.col("b").alias("callee"))
+    return found.join(entry(spark, sf_dir, "symbol").select(F.col("id").alias("callee"), F.col("qual_name").alias("name")), "callee").select("caller", "callee", "name")
+
+
+@query("SELECT DISTINCT c.a, c.b FROM calls c WHERE c.a IN (SELECT b FROM r) OR c.a IN (SELECT a FROM seed)", ("site",), True, _REACH)
+def cone_out(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    return C.cone(c, seed(c))
+
+
+_LAST = f"{_CALLS}, seed AS (SELECT max(b) AS b FROM calls), r(b) AS (SELECT b FROM seed UNION SELECT c.a FROM r JOIN calls c ON c.b = r.b)"
+
+
+@query("SELECT DISTINCT c.a, c.b FROM calls c WHERE c.b IN (SELECT b FROM r)", ("site",), True, _LAST)
+def cone_in(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    return C.cone(c, c.agg(F.max("b").alias("b")), forward=False)
+
+
+@query(
+    "SELECT DISTINCT a AS node FROM (SELECT a, b FROM r) x WHERE a = b",
+    ("site",), True, f"{_CALLS}, r(a, b) AS (SELECT a, b FROM calls UNION SELECT r.a, c.b FROM r JOIN calls c ON c.a = r.b)",
+)
+def recursive_nodes(spark, sf_dir):
+    return C.reach(calls(spark, sf_dir)).where("a = b").select(F.col("a").alias("node"))
+
+
+@query(
+    "SELECT b AS node, min(d) AS depth FROM r GROUP BY b",
+    ("site",), True, f"{_CALLS}, {_SEED}, r(b, d) AS (SELECT a, 0 FROM seed UNION SELECT c.b, r.d + 1 FROM r JOIN calls c ON c.a = r.b WHERE r.d < 6)",
+)
+def bfs_depth(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    return C.tree(c, seed(c).first()[0], most=6).select("node", "depth")
+
+
+@query(
+    "SELECT max(x.d) AS hops FROM (SELECT b, min(d) AS d FROM r GROUP BY b) x",
+    ("site",), True, f"{_CALLS}, {_SEED}, r(b, d) AS (SELECT a, 0 FROM seed UNION SELECT c.b, r.d + 1 FROM r JOIN calls c ON c.a = r.b WHERE r.d < 8)",
+)
+def shortest_path_len(spark, sf_dir):
+    """Steps of a shortest way from the seed to the last of the nodes that are farthest within 8 steps."""
+    c = calls(spark, sf_dir)
+    start = seed(c).first()[0]
+    far = C.tree(c, start, most=8).orderBy(F.desc("depth"), F.desc("node")).first()
+    way = C.path(c, start, far["node"], 8)
+    return spark.createDataFrame([(len(way) - 1,)], "hops int")
+
+
+_SUB = "r(a, b) AS (SELECT src_id, dst_id FROM edge WHERE kind = 2 UNION SELECT r.a, e.dst_id FROM r JOIN edge e ON e.src_id = r.b AND e.kind = 2)"
+
+
+@query("SELECT a AS sub, b AS super FROM r", ("edge",), True, _SUB)
+def subtype_closure(spark, sf_dir):
+    return C.reach(graph(spark, sf_dir).pairs(["inherits"])).select(F.col("a").alias("sub"), F.col("b").alias("super"))
+
+
+_OVER = "r(base, target) AS (SELECT dst_id, src_id FROM edge WHERE kind = 6 UNION SELECT r.base, e.src_id FROM r JOIN edge e ON e.dst_id = r.target AND e.kind = 6)"
+
+
+@query("SELECT target AS method, base AS base_method FROM r", ("edge",), True, _OVER)
+def override_chain(spark, sf_dir):
+    return C.reach(graph(spark, sf_dir).pairs(["overrides"])).select(F.col("a").alias("method"), F.col("b").alias("base_method"))
+
+
+@query(
+    "SELECT DISTINCT x.id, x.target FROM (SELECT base AS id, target FROM r UNION SELECT base, base FROM r) x JOIN symbol s ON s.id = x.target WHERE s.is_pure = 0",
+    ("symbol", "edge"), True, _OVER,
+)
+def dispatch_targets(spark, sf_dir):
+    return graph(spark, sf_dir).dispatch_targets()
+
+
+@query("SELECT c.src_id, r.target AS dst_id, max(c.count) AS count FROM edge c JOIN r ON r.base = c.dst_id WHERE c.kind = 1 AND c.src_id <> r.target GROUP BY 1, 2", ("edge",), True, _OVER)
+def dispatch_calls(spark, sf_dir):
+    return R.dispatch_calls(catalog(spark, sf_dir)).select("src_id", "dst_id", "count")
+
+
+@query(
+    "SELECT n.id AS node, min(CASE WHEN u.id IS NULL THEN n.id ELSE u.id END) AS root FROM (SELECT 100 + n_nationkey AS id FROM nation) n LEFT JOIN (SELECT r.a AS x, r.b AS id FROM r WHERE r.b NOT IN (SELECT src_id FROM edge WHERE kind = 2)) u ON u.x = n.id WHERE n.id > 100 GROUP BY n.id",
+    ("edge",), True, _SUB,
+)
+def collapse_root(spark, sf_dir):
+    p = graph(spark, sf_dir).pairs(["inherits"])
+    return C.roots(p.select(F.col("a").alias("node"), F.col("b").alias("next")))
+
+
+# --- negation and counts
+
+
+@query("SELECT id FROM symbol WHERE kind = 8 AND is_definition = 1 AND id NOT IN (SELECT dst_id FROM edge WHERE kind IN (1, 7))", ("symbol", "edge"))
+def unreferenced(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    used = c["edge"].where("kind in (1, 7)").select(F.col("dst_id").alias("id"))
+    return c["symbol"].where("kind = 8 and is_definition = 1").select("id").join(used, "id", "left_anti")
+
+
+@query("SELECT DISTINCT a AS id FROM calls WHERE a NOT IN (SELECT b FROM calls)", ("site",), False, _CALLS)
+def entry_points(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    return c.select(F.col("a").alias("id")).distinct().join(c.select(F.col("b").alias("id")), "id", "left_anti")
+
+
+@query("SELECT s.id, count(c.a) AS total FROM symbol s LEFT JOIN calls c ON c.b = s.id WHERE s.kind = 8 GROUP BY s.id", ("symbol", "site"), False, _CALLS)
+def fan_in(spark, sf_dir):
+    n = calls(spark, sf_dir).groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"))
+    return entry(spark, sf_dir, "symbol").where("kind = 8").select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("total"))
+
+
+@query("SELECT s.id, count(c.b) AS total FROM symbol s LEFT JOIN calls c ON c.a = s.id WHERE s.kind = 8 GROUP BY s.id", ("symbol", "site"), False, _CALLS)
+def fan_out(spark, sf_dir):
+    n = calls(spark, sf_dir).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    return entry(spark, sf_dir, "symbol").where("kind = 8").select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("total"))
+
+
+@query("SELECT b AS changed, count(DISTINCT a) AS callers FROM r GROUP BY b", ("strong",), True, "r(a, b) AS (SELECT a, b FROM strong UNION SELECT r.a, s.b FROM r JOIN strong s ON s.a = r.b)")
+def blast_radius(spark, sf_dir):
+    return C.reach(C.backward(strong(spark, sf_dir))).groupBy(F.col("a").alias("changed")).agg(F.count("*").alias("callers"))
+
+
+@query(
+    "SELECT x.file_id AS source, y.file_id AS target, count(*) AS calls FROM calls c JOIN symbol x ON x.id = c.a JOIN symbol y ON y.id = c.b WHERE x.file_id <> y.file_id GROUP BY 1, 2",
+    ("symbol", "site"), False, _CALLS,
+)
+def file_dependency(spark, sf_dir):
+    s = entry(spark, sf_dir, "symbol").select("id", "file_id")
+    c = calls(spark, sf_dir).join(s.select(F.col("id").alias("a"), F.col("file_id").alias("source")), "a").join(s.select(F.col("id").alias("b"), F.col("file_id").alias("target")), "b")
+    return c.where("source <> target").groupBy("source", "target").agg(F.count("*").alias("calls"))
+
+
+@query(
+    "SELECT e.src_id, e.dst_id, e.kind FROM edge e JOIN symbol x ON x.id = e.src_id JOIN symbol y ON y.id = e.dst_id WHERE x.file_id % 5 <> y.file_id % 5",
+    ("symbol", "edge"),
+)
+def cross_component_edges(spark, sf_dir):
+    return R.cross_component_edges(catalog(spark, sf_dir))
+
+
+@query("SELECT a, b, count(*) AS n FROM site GROUP BY a, b", ("site",))
+def edge_counts(spark, sf_dir):
+    counted = R.edge_counts(catalog(spark, sf_dir))
+    return counted.where("kind = 1 and src_id < 500000000").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), F.col("count").alias("n"))
+
+
+# --- names
+
+_DISP = """
+ann AS (SELECT s.id, s.qual_name, s.parent_usr, s.usr, s.file_id, s.line,
+               CASE WHEN position(spelling IN display_name) = 1 THEN substr(display_name, length(spelling) + 1) ELSE '' END AS sig,
+               qual_name || CASE WHEN position(spelling IN display_name) = 1 THEN substr(display_name, length(spelling) + 1) ELSE '' END AS base FROM symbol s),
+placed AS (SELECT a.id, CASE WHEN p.usr IS NOT NULL AND p.base <> p.qual_name AND position(p.qual_name IN a.qual_name) = 1
+                             THEN p.base || substr(a.qual_name, length(p.qual_name) + 1) || a.sig ELSE a.base END AS nm,
+                  coalesce(f.name, '?') || ':' || coalesce(a.line, 0) AS loc
+           FROM ann a LEFT JOIN ann p ON p.usr = a.parent_usr LEFT JOIN file f ON f.id = a.file_id),
+disp AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY nm) = 1 THEN nm WHEN count(*) OVER (PARTITION BY nm, loc) = 1 THEN nm || ' @' || loc
+                    ELSE nm || ' @' || loc || ' [' || row_number() OVER (PARTITION BY nm, loc ORDER BY id) || ']' END AS name FROM placed)"""
+
+
+@query("SELECT id, name FROM disp", ("symbol", "file"), False, _DISP)
+def display_names(spark, sf_dir):
+    return N.display_names(catalog(spark, sf_dir))
+
+
+@query("SELECT s.id, d.name, coalesce(s.type_info, '') AS type_info, coalesce(f.name, '') AS file, s.line, s.is_definition, s.is_pure, s.access FROM symbol s JOIN disp d ON d.id = s.id LEFT JOIN file f ON f.id = s.file_id", ("symbol", "file"), False, _DISP)
+def symbol_facts(spark, sf_dir):
+    return N.symbol_facts(catalog(spark, sf_dir)).select("id", "name", "type_info", "file", "line", "is_definition", "is_pure", "access")
+
+
+@query("SELECT d.name, split_part(s.type_info, ' (', 1) || ' ' || s.qual_name || substr(s.type_info, position(' (' IN s.type_info) + 1) AS signature FROM symbol s JOIN disp d ON d.id = s.id WHERE s.kind IN (8, 21)", ("symbol", "file"), False, _DISP)
+def callable_facts(spark, sf_dir):
+    return N.callable_facts(catalog(spark, sf_dir))
+
+
+@query("SELECT x.name AS a, y.name AS b FROM edge e JOIN disp x ON x.id = e.src_id JOIN disp y ON y.id = e.dst_id WHERE e.kind = 6", ("symbol", "file", "edge"), False, _DISP)
+def named_overrides(spark, sf_dir):
+    return N.named_edges(catalog(spark, sf_dir), 6)
+
+
+# --- the entity graph
+
+_FLAGS = "flags AS (SELECT parent_usr AS usr, bool_or(kind = 21 AND is_pure = 1) AS pure, bool_or(kind = 21 AND is_pure = 0) AS impure FROM symbol WHERE parent_usr IS NOT NULL AND kind = 21 GROUP BY parent_usr)"
+_NODES = f"{_FLAGS}, nodes AS (SELECT s.id, CASE WHEN s.kind = 22 THEN 9 WHEN f.pure AND NOT f.impure THEN 3 WHEN f.pure THEN 2 ELSE 1 END AS kind FROM symbol s LEFT JOIN flags f ON f.usr = s.usr WHERE s.kind IN (4, 22))"
+
+
+@query("SELECT id, kind FROM nodes", ("symbol",), False, _NODES)
+def entity_kinds(spark, sf_dir):
+    return R.entity_nodes(catalog(spark, sf_dir))
+
+
+_ENT = f"""{_NODES},
+ee AS (SELECT e.src_id, e.dst_id, CASE WHEN n.kind = 3 THEN 2 ELSE 1 END AS kind, 1 AS count, CAST(NULL AS BIGINT) AS via, coalesce(e.base_access, 0) AS access, 0 AS partial
+       FROM edge e JOIN nodes n ON n.id = e.dst_id WHERE e.kind = 2
+       UNION ALL SELECT o.dst_id, p.dst_id, 8, count(*), e.dst_id, 0, max(s.is_pure) FROM edge e JOIN edge o ON o.kind = 9 AND o.src_id = e.src_id
+       JOIN edge p ON p.kind = 9 AND p.src_id = e.dst_id JOIN symbol s ON s.id = e.dst_id WHERE e.kind IN (1, 7) AND o.dst_id <> p.dst_id GROUP BY o.dst_id, p.dst_id, e.dst_id
+       UNION ALL SELECT e.src_id, e.dst_id, 12, 1, NULL, 0, 0 FROM edge e JOIN nodes n ON n.id = e.dst_id WHERE e.kind = 3)"""
+
+
+@query("SELECT src_id, dst_id, kind, count, via AS via_member_id, access, partial FROM ee", ("symbol", "edge"), False, _ENT)
+def entity_edges(spark, sf_dir):
+    return R.entity_edges(catalog(spark, sf_dir)).select("src_id", "dst_id", "kind", "count", "via_member_id", "access", "partial")
+
+
+def entity_graph(spark: SparkSession, sf_dir: str) -> EntityGraph:
+    return EntityGraph(Graph(R.resolve(catalog(spark, sf_dir))))
+
+
+@query(
+    "SELECT DISTINCT s.id, s.qual_name AS name FROM r JOIN ee u ON u.kind = 8 AND u.src_id = r.b JOIN symbol s ON s.id = u.dst_id",
+    ("symbol", "edge"), True, _ENT + ", r(b) AS (SELECT src_id FROM ee WHERE kind = 1 AND dst_id = 100 UNION SELECT e.src_id FROM r JOIN ee e ON e.kind = 1 AND e.dst_id = r.b)",
+)
+def entity_query_chain(spark, sf_dir):
+    """What the subclasses of the first class use."""
+    return entity_graph(spark, sf_dir).query(100).derived(transitive=True).uses().nodes().select("id", "name")
+
+
+@query("SELECT CASE kind WHEN 1 THEN 'generalizes' WHEN 2 THEN 'implements' WHEN 8 THEN 'uses' ELSE 'declares' END AS kind, count(*) AS n FROM ee GROUP BY 1", ("symbol", "edge"), False, _ENT)
+def entity_stats(spark, sf_dir):
+    return entity_graph(spark, sf_dir).stats()
+
+
+@query("SELECT a, b FROM r", ("symbol", "edge"), True, _ENT + ", d AS (SELECT DISTINCT src_id AS a, dst_id AS b FROM ee WHERE kind = 8), r(a, b) AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b)")
+def entity_dependency_closure(spark, sf_dir):
+    e = R.entity_edges(catalog(spark, sf_dir)).where("kind in (4, 5, 6, 7, 8)")
+    return C.reach(e.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))).select("a", "b")
+
+
+# --- the pattern language
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(Graph(R.resolve(catalog(spark, sf_dir))))
+
+
+@query("SELECT qual_name AS \"f.name\", access AS \"f.access\" FROM symbol WHERE kind = 21 AND access <> 'private' AND regexp_matches(qual_name, 'm[0-3]$')", ("symbol",))
+def pattern_match(spark, sf_dir):
+    return engine(spark, sf_dir).run('match method f where f.name ~ "m[0-3]$" and not f.access = "private" select f.name, f.access')
+
+
+@query("SELECT s.qual_name AS \"c.name\" FROM symbol s WHERE s.kind = 4 AND s.id IN (SELECT a FROM r WHERE b = 101)", ("symbol", "edge"), True, _SUB)
+def pattern_closure(spark, sf_dir):
+    return engine(spark, sf_dir).run('match class c where c inherits+ "AMERICA::NATION_1" select c.name')
+
+
+@query("SELECT x.qual_name AS \"a.name\", y.qual_name AS \"b.name\" FROM r JOIN symbol x ON x.id = r.a JOIN symbol y ON y.id = r.b WHERE regexp_matches(x.qual_name, 'ASIA')", ("symbol", "edge"), True, _SUB)
+def pattern_join(spark, sf_dir):
+    return engine(spark, sf_dir).run('match class a, class b where a inherits+ b and a.namespace = "ASIA" select a.name, b.name')
+
+
+_ALLCALLS = f"{_OVER}, allc AS (SELECT DISTINCT src_id AS a, dst_id AS b FROM edge WHERE kind = 1 UNION SELECT c.src_id, r.target FROM edge c JOIN r ON r.base = c.dst_id WHERE c.kind = 1 AND c.src_id <> r.target)"
+
+
+@query("SELECT count(DISTINCT c.a) AS score, s.id, s.qual_name AS name FROM symbol s LEFT JOIN allc c ON c.b = s.id WHERE s.kind = 21 GROUP BY s.id, s.qual_name ORDER BY score DESC, length(s.qual_name), s.qual_name, s.id LIMIT 10", ("symbol", "edge"), True, _ALLCALLS)
+def pattern_rank(spark, sf_dir):
+    return engine(spark, sf_dir).run("rank f in match method f select f by count(callers f) desc limit 10").select("score", "id", "name")
+
+
+@query("SELECT x.step, x.id, s.qual_name AS name FROM (SELECT 0 AS step, 100 AS id UNION ALL SELECT 1, 101 UNION ALL SELECT 2, 102 UNION ALL SELECT 3, 105) x JOIN symbol s ON s.id = x.id", ("symbol",))
+def pattern_path(spark, sf_dir):
+    return engine(spark, sf_dir).run('show path from "AFRICA::NATION_0" to "AFRICA::NATION_5" via inherits')
+
+
+# --- rules
+
+_RULES = """
+.decl chain(m: symbol, b: symbol)
+chain(m, b) :- overrides(m, b).
+chain(m, b) :- chain(m, k), overrides(k, b).
+.decl lone(m: number, c: number, n: number)
+lone(m, c, n) :- method_of(m, c), !chain(m, _), n = count : { chain(x, _), method_of(x, c) }.
+"""
+
+
+@query(
+    "SELECT m.src_id AS m, m.dst_id AS c, (SELECT count(*) FROM r JOIN edge k ON k.kind = 9 AND k.src_id = r.target WHERE k.dst_id = m.dst_id) AS n FROM edge m WHERE m.kind = 9 AND m.src_id NOT IN (SELECT target FROM r)",
+    ("edge",), True, _OVER,
+)
+def rules_negation_count(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return Program(_RULES).run(spark, {"overrides": g.pairs(["overrides"]), "method_of": g.pairs(["method_of"])}, ["lone"])["lone"]
+
+
+@query("SELECT id, mult, rn FROM (SELECT src_id AS id, count AS mult, row_number() OVER (PARTITION BY src_id ORDER BY count DESC, dst_id) AS rn FROM edge WHERE kind = 1) x WHERE rn <= 2", ("edge",))
+def top_calls(spark, sf_dir):
+    """Each caller's two most counted calls."""
+    e = catalog(spark, sf_dir)["edge"].where("kind = 1")
+    rank = F.row_number().over(Window.partitionBy("src_id").orderBy(F.desc("count"), "dst_id"))
+    return e.select(F.col("src_id").alias("id"), F.col("count").alias("mult"), rank.alias("rn")).where("rn <= 2")
