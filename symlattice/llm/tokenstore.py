@@ -9,9 +9,11 @@ commits it, so that any store Spark writes will do and a lost executor leaves no
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +53,15 @@ def segment_bytes(documents: list[np.ndarray], width: int) -> bytes:
     return _HEAD.pack(MAGIC, width, len(ids), len(index)) + ids.tobytes() + index
 
 
-def _library(path: str) -> tuple[Callable[[str], list[int]], int]:
-    import os
-
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> tuple[ChunkEncoder, int]:
+    """The library's tokenizer of a file behind a cache of chunks, and the number of its ids; one for
+    all tasks of a worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return (lambda text: tokenizer.encode(text, add_special_tokens=False).ids), tokenizer.get_vocab_size(with_added_tokens=True)
+    return ChunkEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
@@ -77,8 +80,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     kind = plain.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = _library(tokenizer_path)
-        chunks, width = ChunkEncoder(encode), 2 if max(size - 1, end_id) < 1 << 16 else 4
+        chunks, size = shared_encoder(tokenizer_path)
+        width = 2 if max(size - 1, end_id) < 1 << 16 else 4
         place, names, documents, held = None, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -97,7 +100,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                     names, documents, held = [], [], 0
                 place = place or (shard, 0)
                 text = batch.column(2)[i].as_py()
-                mine = np.array([*(chunks.ids(text) if text else ()), end_id], f"<u{width}")
+                mine = np.append(chunks.ids(text), np.uint32(end_id)).astype(f"<u{width}")
                 names.append(batch.column(1).slice(i, 1))
                 documents.append(mine)
                 held += len(mine)
