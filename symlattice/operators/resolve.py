@@ -11,6 +11,7 @@ from symlattice.functions.types import classified
 from symlattice.operators.closure import reach, roots
 from symlattice.schemas import ACCESS, CREATE_FORM, EDGE_KIND, ENTITIES, ENTITY_EDGE_KIND, ENTITY_KIND, SYMBOL_KIND
 from symlattice.sources.facts import Catalog
+from symlattice.staging import cut
 
 TEMPLATE = SYMBOL_KIND["class-template"]
 
@@ -90,10 +91,10 @@ class _Pass:
         self.edge, self.symbol = c["edge"], c["symbol"]
         self.kinds = self.symbol.select("id", F.col("kind").alias("k"))
         self.root = primaries(c)
-        self.nodes = entity_nodes(c)
+        self.nodes = cut(entity_nodes(c), "nodes")
         record = self.kinds.where(F.col("k").isin(*ENTITIES)).select(F.col("id").alias("owner"))
         of = self.edge.where(F.col("kind") == EDGE_KIND["method_of"]).select(F.col("src_id").alias("method"), F.col("dst_id").alias("owner")).join(record, "owner")
-        self.owner = of.groupBy("method").agg(F.min("owner").alias("owner"))
+        self.owner = cut(of.groupBy("method").agg(F.min("owner").alias("owner")), "owners")
 
     def edges(self, *names: str) -> DataFrame:
         return self.edge.where(F.col("kind").isin(*[EDGE_KIND[n] for n in names]))
@@ -253,16 +254,17 @@ def cross_component_edges(c: Catalog) -> DataFrame:
 def resolve(c: Catalog) -> Catalog:
     """The catalog with counts, numbers of definitions, possible and dispatch calls, and the entity graph.
 
-    Running it again changes nothing: derived edges are made anew. meta says when it ran.
+    Running it again changes nothing: derived edges are made anew. Derived tables are written once to
+    the shared folder, so that the queries that follow do not derive them again. meta says when it ran.
     """
     c = c.replaced(edge=c["edge"].where(F.col("kind") != EDGE_KIND["dispatch_calls"]))
-    c = c.replaced(edge=edge_counts(c), symbol=multi_def(c))
-    c = c.replaced(possible_call=possible_calls(c))
-    c = c.replaced(edge=c["edge"].unionByName(dispatch_calls(c), allowMissingColumns=True))
+    c = c.replaced(edge=cut(edge_counts(c), "edge"), symbol=cut(multi_def(c), "symbol"))
+    c = c.replaced(possible_call=cut(possible_calls(c), "possible_call"))
+    c = c.replaced(edge=cut(c["edge"].unionByName(dispatch_calls(c), allowMissingColumns=True), "edge"))
     p = _Pass(c)
     now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     meta = c["meta"].where("key <> 'graph_resolved_at'").unionByName(c.spark.createDataFrame([("graph_resolved_at", now)], "key string, value string"))
-    return c.replaced(entity_node=p.nodes, entity_edge=entity_edges(c, p), meta=meta)
+    return c.replaced(entity_node=p.nodes, entity_edge=cut(entity_edges(c, p), "entity_edge"), meta=meta)
 
 
 def summary(c: Catalog) -> dict[str, int]:
