@@ -386,7 +386,10 @@ class Program:
         return out.select(*keep).distinct(), env | {k: f"v_{k}" for k in mine}
 
     def _aggregate(self, spark, df, env, x: Aggregate, known):
-        inner, inner_env = self._body(spark, x.body, known, {})
+        # each _ is a variable of its own: what is aggregated are the tuples of the whole body
+        body = [Atom(y.name, [Var(f"_{i}_{k}") if a == ANY else a for k, a in enumerate(y.args)]) if isinstance(y, Atom) and not y.negated else y for i, y in enumerate(x.body)]
+        inner, inner_env = self._body(spark, body, known, {})
+        inner = inner.distinct()
         shared = [v for v in inner_env if v in env]
         keyed = inner.select(*[F.col(inner_env[v]).alias(f"k_{v}") for v in shared], *[F.col(c).alias(f"i_{c}") for c in inner.columns])
         value = None if x.of is None else self._value(x.of, {k: f"i_{v}" for k, v in inner_env.items()})
