@@ -47,53 +47,68 @@ def segment_rows(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select("node", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("node", "k.role", "k.key").distinct()
 
 
-def _within(edits: int) -> Column:
-    """Whether the strings a (characters _x) and b (characters _y, _m of them) are at most `edits` edits
-    apart; a is no shorter than b, and _down characters longer than edits.
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: as a lambda's argument the optimizer cannot copy it to
+    every place where it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _within(q: Column, edits: int) -> Column:
+    """Whether strings of characters q.x (q.n of them) and q.y (q.m) are at most `edits` edits apart; x is
+    no shorter than y and longer than edits.
 
     Bit-parallel over the 2 * edits + 1 diagonals that matter: a bit for each says where the
-    distance grows down a column (up, down), one step for each character of b; the distance is
-    followed along the lowest diagonal to the end of a, and then up the last column.
+    distance grows down a column (up, down), one step for each character of y; the distance is
+    followed along the lowest diagonal to the end of x, and then up the last column. Along the
+    diagonal it never falls, so once it is beyond what the last column can take back, the steps
+    that are left pass the state on as it is.
     """
     top = 2 * edits
-    full = (1 << (top + 1)) - 1
+    full = F.lit((1 << (top + 1)) - 1)
 
-    def step(s: Column, i: Column) -> Column:
-        c = F.get(F.col("_y"), i)
+    def advance(s: Column, i: Column) -> Column:
+        c = F.get(q["y"], i)
         eq = F.lit(0)
         for k in range(top + 1):
-            eq = eq + F.when(F.get(F.col("_x"), i + (edits - k)) == c, 1 << (top - k)).otherwise(0)
-        return F.struct(eq.alias("eq"), s["up"].alias("up"), s["down"].alias("down"), s["dist"].alias("dist"), i.alias("i"))
-
-    def turn(s: Column) -> Column:
-        eq, up, dn, i = s["eq"], s["up"], s["down"], s["i"]
-        d0 = ((eq.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(eq).bitwiseOR(dn).bitwiseAND(F.lit(full))
-        return F.struct(d0.alias("d0"), dn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(up)).bitwiseAND(F.lit(full))).alias("hp"), d0.bitwiseAND(up).alias("hn"), s["dist"].alias("dist"), i.alias("i"))
-
-    def close(s: Column) -> Column:
-        d0, hp, hn, i = s["d0"], s["hp"], s["hn"], s["i"]
-        half = F.shiftright(d0, 1)
-        late = i - F.col("_down")  # 0 or more once the end of a is reached
-        bit = F.call_function("shiftright", F.lit(1 << top), late + 1)
-        dist = F.when(late < 0, F.when(d0.bitwiseAND(F.lit(1 << top)) == 0, s["dist"] + 1).otherwise(s["dist"])).otherwise(
-            s["dist"] + F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0)
-        )
-        return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(F.lit(full))).alias("up"), half.bitwiseAND(hp).alias("down"), dist.alias("dist"))
+            eq = eq + F.when(F.get(q["x"], i + (edits - k)) == c, 1 << (top - k)).otherwise(0)
+        up, down, dist = s["up"], s["down"], s["dist"]
+
+        def turn(e: Column) -> Column:
+            return ((e.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(e).bitwiseOR(down).bitwiseAND(full)
+
+        def close(d0: Column) -> Column:
+            hp, hn, half = down.bitwiseOR(F.bitwise_not(d0.bitwiseOR(up)).bitwiseAND(full)), d0.bitwiseAND(up), F.shiftright(d0, 1)
+            late = i - (q["n"] - edits)  # 0 or more once the end of x is reached
+            bit = F.call_function("shiftright", F.lit(1 << top), late + 1)
+            along = F.when(d0.bitwiseAND(F.lit(1 << top)) == 0, dist + 1).otherwise(dist)
+            across = dist + F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0)
+            return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(full)).alias("up"), half.bitwiseAND(hp).alias("down"), F.when(late < 0, along).otherwise(across).alias("dist"))
+
+        hopeless = dist > q["m"] - q["n"] + 2 * edits
+        return F.when(hopeless, s).otherwise(_let(_let(eq, turn), close))
 
     first = F.struct(F.lit(((1 << (edits + 1)) - 1) << (top - edits)).alias("up"), F.lit(0).alias("down"), F.lit(edits).alias("dist"))
+    return F.aggregate(F.sequence(F.lit(0), q["m"] - 1), first, advance)["dist"] <= edits
 
-    def advance(s: Column, i: Column) -> Column:
-        # each stage is bound once, as the one element of an array, instead of being copied into the next
-        one = F.transform(F.array(step(s, i)), turn)
-        return F.element_at(F.transform(one, close), 1)
 
-    return F.aggregate(F.sequence(F.lit(0), F.col("_m") - 1), first, advance)["dist"] <= edits
+def common_prefix(a: Column, b: Column, most: int = 20) -> Column:
+    """Characters at the beginning that two unequal strings share, by halving (2**most - 1 at most)."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(F.substring(a, F.lit(1), n + k) == F.substring(b, F.lit(1), n + k), n + k).otherwise(n))
 
 
 def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """The rows (a, b, s, t) of pairs, s no shorter than t and t not empty, whose strings are at most `edits` apart."""
-    ready = pairs.withColumns({"_x": F.split("s", ""), "_y": F.split("t", ""), "_m": F.length("t"), "_down": F.length("s") - edits})
-    return ready.where(_within(edits)).select("a", "b")
+    """The rows (a, b, s, t) of pairs, s no shorter than t, unequal, whose strings are at most `edits`
+    apart. What they share at the beginning does not count for their distance and is left out."""
+
+    def rest(p: Column) -> Column:
+        x, y = (F.substring(F.col(c), p + 1, F.length(c)) for c in ("s", "t"))
+        return F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"), (F.length("s") - p).alias("n"), (F.length("t") - p).alias("m"))
+
+    def near(q: Column) -> Column:
+        return F.when(q["n"] <= edits, True).when(q["n"] - q["m"] > edits, False).otherwise(_within(q, edits))
+
+    return pairs.where(_let(_let(common_prefix(F.col("s"), F.col("t")), rest), near)).select("a", "b")
 
 
 def _one_edit_stars(lines: DataFrame) -> DataFrame:
@@ -114,6 +129,11 @@ def _one_edit_stars(lines: DataFrame) -> DataFrame:
     return swapped.unionByName(longer)
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table of ids for a join: sent to all executors if it is small, else shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def line_classes(lines: DataFrame, edits: int = 1, hot: int = 32) -> DataFrame:
     """(node, root) for the lines that have another within `edits` edits, over any number of links.
 
@@ -130,8 +150,8 @@ def line_classes(lines: DataFrame, edits: int = 1, hot: int = 32) -> DataFrame:
         crowded = size.where(F.col("n") > crowd).select("key")
         many = cut(crowded, "crowded")
         pairs = probe.join(index.join(many, "key", "left_anti"), "key")
-        touched = rows.join(many, "key", "left_semi").select("node").distinct()
-        stars = _one_edit_stars(lines.join(touched, "node", "left_semi"))
+        touched = cut(rows.join(many, "key", "left_semi").select("node").distinct(), "touched")
+        stars = _one_edit_stars(lines.join(_sent(touched), "node", "left_semi"))
     else:
         pairs, stars = probe.join(index, "key"), None
     edges = pairs.where("r <> q").select(F.greatest("r", "q").alias("a"), F.least("r", "q").alias("b"))
@@ -140,11 +160,13 @@ def line_classes(lines: DataFrame, edits: int = 1, hot: int = 32) -> DataFrame:
     edges = cut(edges.distinct(), "candidates")
     needed = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     n = needed.count()
-    texts = cut(lines.join(F.broadcast(needed) if n <= BROADCAST_ROWS else needed, "node", "left_semi").select("node", "norm", "len"), "texts")
+    texts = cut(lines.join(_sent(needed), "node", "left_semi").select("node", "norm", "len"), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("norm").alias("x"), F.col("len").alias("lx"))
     right = texts.select(F.col("node").alias("b"), F.col("norm").alias("y"), F.col("len").alias("ly"))
     both = edges.join(left, "a").join(right, "b").where(F.abs(F.col("lx") - F.col("ly")) <= edits)
     longer = F.col("lx") >= F.col("ly")
+    # few bytes, but work: more tasks than the size alone would make
+    both = both.repartition(max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 5_000))
     return connected_components(verified(both.select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("s"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("t")), edits))
 
 
@@ -187,8 +209,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*names)
     gone = cut(repeated_lines(plain, key, text, edits, min_chars), "gone")
     gone = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "positions")
-    hint = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    wide = plain.withColumn("_t", F.xxhash64(text)).join(hint, F.col("_t").eqNullSafe(F.col("_th")) & F.col(key).eqNullSafe(F.col("_id")), "left")
+    wide = plain.withColumn("_t", F.xxhash64(text)).join(_sent(gone), F.col("_t").eqNullSafe(F.col("_th")) & F.col(key).eqNullSafe(F.col("_id")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("positions"), i)), "\n")
     new = F.when(F.col("positions").isNull(), F.col(text)).otherwise(kept)
     extra = "removed_lines" if "removed_lines" not in [c.lower() for c in docs.columns] else "_removed_lines"
