@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.llm.text import words
+from symlattice.staging import cut
 
 #: Features are hashed to so many numbers.
 SIZE = 1 << 16
 #: Documents that the scorer is fitted on at most: those whose texts have the least hashes.
 SAMPLE = 20_000
 
+#: Hashes of rejected texts that are sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 #: Name: (bad from, good to) for a statistic that is large in bad texts; the other way round if bad < good.
 LABELLERS: dict[str, tuple[float, float]] = {
     "marks": (0.06, 0.015),  # characters that are no letters, digits, blanks or common punctuation
@@ -75,8 +79,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     three = two.withColumns(
         {
-            "_decorated": F.size(F.filter("_shapes", lambda s: s.rlike("[^Aa0]{2}$"))),
-            "_bare": F.size(F.filter("_shapes", lambda s: ~s.rlike("[Aa0]"))),
+            "_decorated": F.regexp_count("_shape", F.lit("[^Aa0\\s]{2}(?!\\S)")),
+            "_bare": F.regexp_count("_shape", F.lit("(?<!\\S)[^Aa0\\s]+(?!\\S)")),
         }
     )
     stats = statistics(F.col(text_col))
@@ -109,9 +113,9 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     """
     c = counts.astype(float)
     q = np.where((votes == 0).any(1), 0.05, 0.95)
-    onehot = (votes[:, :, None] == np.array([0, 1])).astype(float)
+    flat = (votes[:, :, None] == np.array([0, 1])).astype(float).reshape(len(c), 2 * votes.shape[1])
     for _ in range(rounds):
-        good, bad = (c * q) @ onehot.reshape(len(c), -1), (c * (1 - q)) @ onehot.reshape(len(c), -1)
+        good, bad = (c * q) @ flat, (c * (1 - q)) @ flat
         g, b = good.reshape(-1, 2) + smooth, bad.reshape(-1, 2) + smooth
         g, b = g / g.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
         odds = np.log(g / b)
@@ -125,18 +129,23 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return model
 
 
-def _fit_scorer(lists: list[np.ndarray], labels: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of the hashed features, which count by their share of the document, and the bias."""
+def _fold(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document, feature, value) for each distinct feature of each list, and the number of lists. A
+    feature counts by the root of its share of the list."""
+    terms = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    key, where = np.unique(np.repeat(np.arange(len(lengths)), lengths) * SIZE + terms, return_inverse=True)
+    doc, term = key // SIZE, key % SIZE
+    return doc, term, np.sqrt(np.bincount(where, minlength=len(key)) / np.maximum(lengths[doc], 1)), len(lengths)
+
+
+def _fit_scorer(lists: list[list[int]], values: list[list[float]], labels: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of the hashed features and the bias, by AdaGrad on the logistic loss of soft labels."""
     w, bias = np.zeros(SIZE), 0.0
     if not len(labels):
         return w, bias
-    terms = np.concatenate(lists)
-    lengths = np.array([len(x) for x in lists])
-    owner = np.repeat(np.arange(len(lists)), lengths)
-    key, where = np.unique(owner * SIZE + terms, return_inverse=True)
-    value = np.bincount(where).astype(float)
-    doc, term = key // SIZE, key % SIZE
-    value = _weight(value, lengths[doc], term)
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    term, value = np.concatenate(lists).astype(np.int64), np.concatenate(values).astype(float)
     g = np.full(SIZE, 1e-6)
     gb = 1e-6
     for _ in range(rounds):
@@ -150,62 +159,75 @@ def _fit_scorer(lists: list[np.ndarray], labels: np.ndarray, rounds: int = 300,
     return w, bias
 
 
-def _weight(count: np.ndarray, length: np.ndarray, term: np.ndarray) -> np.ndarray:
-    return np.sqrt(count / np.maximum(length, 1))
+def folded(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` of docs with h (the text's XXH64), votes and f (its distinct features and their
+    weights): all that the scorer needs of a text, in one pass over the texts, written once."""
+
+    @F.arrow_udf("struct<terms:array<int>,weights:array<float>>")
+    def fold(lists: pa.Array) -> pa.Array:
+        doc, term, value, n = _fold(lists)
+        ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+        parts = [pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value, pa.float32()))]
+        return pa.StructArray.from_arrays(parts, ["terms", "weights"])
+
+    plain = docs.select(*keep, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("h"))
+    return cut(measured(plain, "_text").select(*keep, "h", F.col("_votes").alias("votes"), fold("_features").alias("f")), "folded")
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE):
-    """(label model, weights, bias). The votes of all documents are counted by pattern, of which
-    there are 3 ** labellers at most; only the scorer is fitted on a sample."""
-    m = measured(docs.select(F.col(text_col).alias("text")))
-    patterns = m.groupBy("_votes").agg(F.count("*").alias("n")).collect()
-    votes = np.array([p["_votes"] for p in patterns], np.int64).reshape(-1, len(LABELLERS))
+def fit(seen: DataFrame, sample: int = SAMPLE):
+    """(label model, weights, bias) from a folded() table. The votes of all documents are counted by
+    pattern, of which there are 3 ** labellers at most; only the scorer is fitted on a sample: a row
+    for each of the `sample` texts with the least hashes, as its few distinct features."""
+    patterns = seen.groupBy("votes").agg(F.count("*").alias("n")).collect()
+    votes = np.array([p["votes"] for p in patterns], np.int64).reshape(-1, len(LABELLERS))
     labels = expectation_maximisation(votes, np.array([p["n"] for p in patterns], np.int64))
-    chosen = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_h")).orderBy("_h").limit(sample)
-    got = measured(chosen).select("_votes", "_features").toArrow()
-    seen = np.array(got["_votes"].to_pylist(), np.int64).reshape(-1, len(LABELLERS))
-    lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in got["_features"]]
-    weights, bias = _fit_scorer(lists, labels.posterior(seen))
+    last = seen.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = seen.where(F.col("h") <= F.lit(last)) if last is not None else seen.limit(0)
+    got = chosen.groupBy("h").agg(F.min(F.struct("votes", "f")).alias("r")).select("h", "r.votes", "r.f.terms", "r.f.weights").orderBy("h").toArrow()
+    rows = got.to_pydict()
+    sampled = np.array(rows["votes"], np.int64).reshape(-1, len(LABELLERS))
+    weights, bias = _fit_scorer(rows["terms"], rows["weights"], labels.posterior(sampled))
     return labels, weights, bias
 
 
-def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """docs with _votes, weak_label and quality_score (doubles, 0 to 1; the latter by the scorer alone)."""
+def score(seen: DataFrame, model) -> DataFrame:
+    """A folded() table with weak_label and quality_score (doubles, 0 to 1; the latter by the scorer alone)."""
     labels, weights, bias = model
-    packed = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    packed = seen.sparkSession.sparkContext.broadcast((weights, bias))
 
     @F.arrow_udf("double")
-    def judge(lists: pa.Array) -> pa.Array:
+    def judge(f: pa.Array) -> pa.Array:
         w, b = packed.value
-        terms = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        key, where = np.unique(np.repeat(np.arange(len(lengths)), lengths) * SIZE + terms, return_inverse=True)
-        doc, term = key // SIZE, key % SIZE
-        value = _weight(np.bincount(where, minlength=len(key)).astype(float), lengths[doc], term)
-        return pa.array(1 / (1 + np.exp(-np.clip(b + np.bincount(doc, value * w[term], len(lengths)), -500, 500))))
+        terms, values = f.field("terms"), f.field("weights")
+        doc = np.repeat(np.arange(len(f)), terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        m = np.bincount(doc, values.flatten().to_numpy(zero_copy_only=False) * w[terms.flatten().to_numpy(zero_copy_only=False)], len(f))
+        return pa.array(1 / (1 + np.exp(-np.clip(b + m, -500, 500))))
 
     z = F.lit(float(np.log(labels.prior / (1 - labels.prior))))
     for j, row in enumerate(labels.odds):
-        z = z + F.element_at(F.array(*[F.lit(float(x)) for x in row]), F.col("_votes")[j] + 2)
-    return measured(docs, text_col).withColumn("weak_label", 1 / (1 + F.exp(-z))).withColumn("quality_score", judge("_features")).drop("_features")
+        z = z + F.element_at(F.array(*[F.lit(float(x)) for x in row]), F.col("votes")[j] + 2)
+    return seen.withColumn("weak_label", 1 / (1 + F.exp(-z))).withColumn("quality_score", judge("f")).drop("f")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
-    """(id, quality_score, weak_label, votes, kept) for every row of docs: kept where the score is `cut` or more.
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cutoff: float = 0.5) -> DataFrame:
+    """(id, quality_score, weak_label, votes, kept) for every row of docs: kept where the score is `cutoff` or more.
 
-    Null texts count as empty; an empty text's score is that of no features, and so it is rejected
+    Null texts count as empty; an empty text's score is that of few features, and so it is rejected
     where the labellers say so. Repeated rows get the same; other columns are not read; an empty
     table gives an empty one. Labels given by people are not used.
     """
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    done = score(plain, fit(plain, "text", sample), "text")
-    return done.select("id", "quality_score", "weak_label", F.col("_votes").alias("votes"), (F.col("quality_score") >= cut).alias("kept"))
+    seen = folded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"])
+    done = score(seen, fit(seen, sample))
+    return done.select("id", "quality_score", "weak_label", "votes", (F.col("quality_score") >= cutoff).alias("kept"))
 
 
-def accept(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
-    """The rows of docs that classify() keeps, all columns as they were."""
+def accept(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, cutoff: float = 0.5) -> DataFrame:
+    """The rows of docs that classify() keeps, all columns as they were. The rejected texts are told by
+    their hashes, which are sent to all executors if they are few and joined by a shuffle if not."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
-    done = score(plain, fit(plain, text, sample), text)
-    return done.where(F.col("quality_score") >= cut).select(names).toDF(*docs.columns)
+    seen = folded(plain.select(F.col(text).alias("text")), [])
+    bad = cut(score(seen, fit(seen, sample)).where(F.col("quality_score") < cutoff).select(F.col("h").alias("_h")).distinct(), "rejected")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return plain.join(bad, F.xxhash64(text) == F.col("_h"), "left_anti").toDF(*docs.columns)
