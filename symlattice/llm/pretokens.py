@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
+#: Marks that end a chunk as a token of their own when all before them is letters.
+MARKS = frozenset(".,;:!?")
 #: Characters that are worked on at a time.
 SPAN = 1 << 20
 _BESIDE_BLANK = re.compile(r"\s | \s")
@@ -28,7 +30,10 @@ class _Cache(dict):
 
     def __init__(self, encode: Callable[[str], Sequence[int]], lead: str, most: int):
         super().__init__()
-        self.encode, self.lead, self.most, self.old = encode, lead, most, {}
+        self.encode, self.lead, self.most, self.old, self.marks = encode, lead, most, {}, {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
@@ -36,7 +41,14 @@ class _Cache(dict):
             self.clear()
         ids = self.old.get(chunk)
         if ids is None:
-            ids = np.array(self.encode(self.lead + chunk), "<u4").tobytes()
+            word, mark = chunk[:-1], chunk[-1:]
+            # letters up to U+024F are letters in every version of Unicode
+            if mark in MARKS and word.isalpha() and max(word) < "\u0250":
+                if mark not in self.marks:
+                    self.marks[mark] = self._ids(mark)
+                ids = self[word] + self.marks[mark]
+            else:
+                ids = self._ids(self.lead + chunk)
         if len(chunk) < 200:
             self[chunk] = ids
         return ids
