@@ -76,10 +76,10 @@ class Codec:
         self.chunks = ChunkEncoder(self.encode_chunk, most)
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> Codec:
+    def from_file(cls, path: str, pattern: str, most: int = 1 << 19) -> Codec:
         """path: lines of a base64 token and its rank."""
         with open(path, "rb") as f:
-            return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}, pattern)
+            return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}, pattern, most)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: of all adjacent pairs that form a token the least rank, of equal

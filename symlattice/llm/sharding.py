@@ -16,8 +16,8 @@ def interleave(docs: DataFrame, n_shards: int, source: Column, order: list[Colum
     Within each source the rows are shuffled: sorted by a seeded uniform number of the `order`
     columns. A row's fractional rank (r - 1/2) / n spreads every source evenly over (0, 1); all rows
     are sorted by it, ties by source (null last) and then by the shuffle. Rank k of N rows goes to
-    shard k * n_shards div N, so that sizes differ by one row at most and every prefix, hence every
-    shard, holds each source's share to within a row. Slots count from 0 in each shard. Rows that
+    shard k * n_shards div N, so that sizes differ by one row at most, and every shard holds each
+    source's share to within about as many rows as there are sources. Slots count from 0 in each shard. Rows that
     agree in source and all of `order` are interchangeable. An empty table gives an empty one.
     The result has the columns rank, shard and slot besides those of docs, which must not have them.
     """
