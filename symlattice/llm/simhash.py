@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -123,13 +124,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
-    """docs without the near copies: of each component the row with the least id stays, null ids
+    """docs with one row of each of simhash_groups(), as keep_first() chooses it."""
+    return keep_first(docs, lambda d, i, t: simhash_groups(d, i, t, size, distance), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, grouped: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """docs without the near copies: of each component of grouped(docs, id_col, text_col) the row with the least id stays, null ids
     last, ties to the text with the least hash; of rows that repeat both, one. All columns stay."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     plain = docs.toDF(*names).withColumn("_h", F.xxhash64(text))
     row = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("_h").alias("h"))
-    groups = simhash_groups(plain.select(row.alias("_id"), F.col(text).alias("_t")), "_id", "_t", size, distance)
+    groups = grouped(plain.select(row.alias("_id"), F.col(text).alias("_t")), "_id", "_t")
     won = cut(groups.groupBy("component").agg((F.sum((F.col("id") == F.col("component")).cast("long")) > 1).alias("again")).select(F.col("component.k").alias("_k"), F.col("component.h").alias("_w"), "again"), "won")
     on = plain[key].eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_w"))
     single = plain.join(won.where("not again"), on, "left_semi")
