@@ -172,7 +172,7 @@ class CodeBase:
 
     # --- devirtualisation
 
-    def receiver_types(self, rounds: int = 16) -> DataFrame:
+    def receiver_types(self) -> DataFrame:
         """(usr, types, top): the record types that may be bound to each variable or parameter.
 
         Types flow from constructions and value types over call arguments to parameters, without regard
@@ -188,7 +188,7 @@ class CodeBase:
         # numbers for the closure: the flow is a graph over names
         ids = flow.select(F.col("frm").alias("u")).unionByName(flow.select(F.col("to").alias("u"))).distinct().select("u", F.xxhash64("u").alias("n"))
         e = flow.join(ids.select(F.col("u").alias("frm"), F.col("n").alias("a")), "frm").join(ids.select(F.col("u").alias("to"), F.col("n").alias("b")), "to").select("a", "b")
-        far = reach(e, None, rounds).join(ids.select(F.col("n").alias("a"), F.col("u").alias("frm")), "a").join(ids.select(F.col("n").alias("b"), F.col("u").alias("to")), "b").select("frm", "to")
+        far = reach(e).join(ids.select(F.col("n").alias("a"), F.col("u").alias("frm")), "a").join(ids.select(F.col("n").alias("b"), F.col("u").alias("to")), "b").select("frm", "to")
         types = base.unionByName(far.join(base.withColumnRenamed("to", "frm"), "frm").select("to", "type")).distinct()
         # a variable that nothing is known of makes what it flows to incomplete
         sources = flow.select("frm").distinct().join(types.select(F.col("to").alias("frm")), "frm", "left_anti")

@@ -30,6 +30,16 @@ def test_pruned_dispatch(spark):
     assert kept == {(30, 12), (31, 11), (31, 12)}
 
 
+def test_types_flow_over_any_number_of_arguments(spark):
+    n = 40
+    symbol = spark.createDataFrame([(100 + i, f"f{i}") for i in range(n)], "id long, usr string")
+    edge = spark.createDataFrame([(i, 1, 100 + i, 1) for i in range(n)], "id long, src_id long, dst_id long, kind int")
+    args = [(0, 0, "construct", "A", None), *[(i, 0, "param", None, f"f{i - 1}#0") for i in range(1, n)], (n - 1, 0, "construct", "B", None)]
+    c = catalog(spark).replaced(symbol=symbol, edge=edge, call_arg=spark.createDataFrame(args, "edge_id long, position int, src_kind string, type_usr string, decl_usr string").withColumn("type_is_value", F.lit(0)))
+    types = {r["usr"]: (r["types"], r["top"]) for r in CodeBase(Graph(c)).receiver_types().collect()}
+    assert types[f"f{n - 1}#0"] == (["A", "B"], False) and all(types[f"f{i}#0"] == (["A"], False) for i in range(n - 1))
+
+
 def test_streamed_files_replace_themselves(spark, tmp_path):
     ingest = FileIngest(spark, "decl_site")
     rows = spark.createDataFrame([(1, 7, 1, 1), (2, 8, 1, 1)], "symbol_id long, file_id long, line int, col int")
