@@ -132,6 +132,21 @@ def closure_by_rounds(spark, sf_dir):
     return C.reach(strong(spark, sf_dir), small=0).select("a", "b")
 
 
+_ALL = f"{_CALLS}, r(a, b) AS (SELECT a, b FROM calls UNION SELECT r.a, c.b FROM r JOIN calls c ON c.a = r.b)"
+
+
+@query("SELECT a, b FROM r", ("site",), True, _ALL)
+def closure_calls(spark, sf_dir):
+    """All that every function reaches over the call graph of the other queries, cycles included."""
+    return C.reach(calls(spark, sf_dir)).select("a", "b")
+
+
+@query("SELECT a, b FROM r", ("site",), True, _ALL)
+def closure_calls_by_rounds(spark, sf_dir):
+    """The same by the way that large graphs take."""
+    return C.reach(calls(spark, sf_dir), small=0).select("a", "b")
+
+
 _REACH = f"{_CALLS}, {_SEED}, r(a, b) AS (SELECT c.a, c.b FROM calls c JOIN seed s ON s.a = c.a UNION SELECT r.a, c.b FROM r JOIN calls c ON c.a = r.b)"
 
 
@@ -259,6 +274,12 @@ def blast_radius(spark, sf_dir):
     return C.reach(C.backward(strong(spark, sf_dir))).groupBy(F.col("a").alias("changed")).agg(F.count("*").alias("callers"))
 
 
+@query("SELECT b AS changed, count(DISTINCT a) AS callers FROM r GROUP BY b", ("site",), True, _ALL)
+def blast_radius_calls(spark, sf_dir):
+    """blast_radius over the whole call graph."""
+    return C.reach(C.backward(calls(spark, sf_dir))).groupBy(F.col("a").alias("changed")).agg(F.count("*").alias("callers"))
+
+
 @query(
     "SELECT x.file_id AS source, y.file_id AS target, count(*) AS calls FROM calls c JOIN symbol x ON x.id = c.a JOIN symbol y ON y.id = c.b WHERE x.file_id <> y.file_id GROUP BY 1, 2",
     ("symbol", "site"), False, _CALLS,
