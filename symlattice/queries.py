@@ -304,6 +304,15 @@ def edge_counts(spark, sf_dir):
     return counted.where("kind = 1 and src_id < 500000000").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), F.col("count").alias("n"))
 
 
+@query(
+    "SELECT e.src_id, e.dst_id, e.kind, coalesce(s.n, e.count) AS n FROM edge e LEFT JOIN (SELECT a, b, count(*) AS n FROM site GROUP BY a, b) s ON s.a = e.src_id AND s.b = e.dst_id AND e.kind = 1",
+    ("edge", "site"),
+)
+def edge_counts_all(spark, sf_dir):
+    """Every edge with its count: of its sites, or as stored where it has none."""
+    return R.edge_counts(catalog(spark, sf_dir)).select("src_id", "dst_id", "kind", F.col("count").alias("n"))
+
+
 # --- names
 
 _DISP = """

@@ -30,3 +30,13 @@ def test_closures_of_a_cyclic_call_graph(spark, monkeypatch, real):
         assert {(r["a"], r["b"]) for r in Q.QUERIES["closure_calls_by_rounds"](spark, path).collect()} == want
     got = {(r["changed"], r["callers"]) for r in Q.QUERIES["blast_radius_calls"](spark, path).collect()}
     assert got == {(b, sum(y == b for _, y in want)) for b in {y for _, y in want}}
+
+
+def test_every_edge_has_a_count(spark):
+    path = "/root/testdata/sf0.001"
+    rows = Q.QUERIES["edge_counts_all"](spark, path).collect()
+    assert len(rows) == Q.entry(spark, path, "edge").count()
+    assert {r["kind"] for r in rows} == {1, 2, 3, 6, 7, 9} and any(r["kind"] == 1 and r["src_id"] >= 500000000 for r in rows)
+    sites = {(r["src_id"], r["dst_id"]): r["n"] for r in rows if r["kind"] == 1 and r["src_id"] < 500000000}
+    assert sites == {(r["a"], r["b"]): r["n"] for r in Q.QUERIES["edge_counts"](spark, path).collect()}
+    assert all(r["n"] == 1 for r in rows if r["kind"] != 1)
