@@ -10,7 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -34,9 +34,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, a single machine) one is made and set."""
+    """The folder that spark.checkpoint.dir names; where it is unset, one is made and set on a single
+    machine, and on a cluster, whose machines share no temporary folder, it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="symlattice-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -62,6 +65,22 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows, and bytes of Parquet, of a table that is sent to every executor; larger ones are joined by a shuffle.
+SENT_ROWS, SENT_BYTES = 1_000_000, 32 << 20
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A cut() table as the side of a join: broadcast if its files and rows are checked to be few, else as it is."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for f in table.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        size += p.getFileSystem(conf).getFileStatus(p).getLen()
+        if size > SENT_BYTES:
+            return table
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def drop_staged(df: DataFrame) -> None:
     """Removes the files of a cut() table that nothing will read again."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
