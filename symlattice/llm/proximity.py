@@ -180,9 +180,12 @@ def connect(points: np.ndarray, links: np.ndarray, members: np.ndarray, entry: i
     """links with bridges to the members that no search from entry could reach.
 
     A crowd of near copies prefers links within the crowd, and pruning may cut it off. Each such
-    island gets a bridge, both ways, between the two nearest of its members and the points found.
+    island gets a bridge, both ways, between the two nearest of its members and the points found; each
+    round reaches some more, or it is an error.
     """
-    links = links.copy()
+    if not np.isfinite(points[members]).all():
+        raise ValueError("vectors must be finite")
+    links, before = links.copy(), len(points) + 1
     while True:
         reached = np.zeros(len(points), bool)
         front = np.array([entry])
@@ -194,6 +197,9 @@ def connect(points: np.ndarray, links: np.ndarray, members: np.ndarray, entry: i
         lost = members[~reached[members]]
         if not len(lost):
             return links
+        if len(lost) >= before:
+            raise RuntimeError("a bridge led nowhere")
+        before = len(lost)
         a, b = _ends(links)
         inner = ~reached[a] & ~reached[b]
         island = groups(len(points), a[inner], b[inner])[lost]
@@ -204,6 +210,8 @@ def connect(points: np.ndarray, links: np.ndarray, members: np.ndarray, entry: i
         for lo in range(0, len(chosen), BATCH):
             part = chosen[lo : lo + BATCH]
             ids, dist = beam_search(points, links, points[part], np.full((len(part), 1), entry), width)
+            if (ids[:, 0] == NONE).any():
+                raise ValueError("squared distances must be finite")
             for g, m, x, d in zip(of[lo : lo + BATCH], part, ids[:, 0], dist[:, 0], strict=True):
                 best[int(g)] = min(best.get(int(g), (np.inf, -1, -1)), (float(d), int(m), int(x)))
         for _, m, x in best.values():
@@ -224,7 +232,7 @@ class RobustGraph:
 
     @classmethod
     def build(cls, points: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2, seed: int = 7) -> RobustGraph:
-        points = np.ascontiguousarray(points, np.float32)
+        points = np.ascontiguousarray(points)
         n = len(points)
         links = np.full((n, degree), NONE, np.int64)
         entry = int(((points - points.mean(0)) ** 2).sum(1).argmin()) if n else 0
@@ -239,7 +247,7 @@ class RobustGraph:
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         ids, dist = [np.zeros((0, width), np.int64)], [np.zeros((0, width))]
         for lo in range(0, len(queries), BATCH):
-            q = np.ascontiguousarray(queries[lo : lo + BATCH], np.float32)
+            q = np.ascontiguousarray(queries[lo : lo + BATCH], self.points.dtype)
             i, d = beam_search(self.points, self.links, q, np.full((len(q), 1), self.entry), width)
             ids.append(i)
             dist.append(d)

@@ -7,6 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Powers of two that a band of magnitudes spans.
+BAND = 32
+#: Tasks that heavy groups are dealt to at most.
+MOST_TASKS = 20_000
+
 
 def valid(vector: Column) -> Column:
     """True for a vector that is no null, holds no null or non-finite component, and is not zero."""
@@ -26,6 +31,44 @@ def matrix(lists: pa.ListArray | pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in double precision. Rows are brought to a largest component near 1 first, so
+    that no finite row's squares overflow or vanish."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows in double precision, whatever finite numbers they hold. inf where the distance
+    itself is beyond the largest double."""
+    half = a / 2 - b / 2
+    power = np.frexp(np.abs(half).max(1, initial=0))[1]
+    near = np.abs(power) < 400
+    out = np.empty(len(a))
+    out[near] = np.sqrt(((a[near] - b[near]) ** 2).sum(1))
+    far = ~near
+    if far.any():
+        # halves that lose bits at the very bottom are taken whole
+        diff = np.where(power[far][:, None] < 0, a[far] - b[far], half[far])
+        shift = np.where(power[far] < 0, 0, 1)
+        scale = np.frexp(np.abs(diff).max(1, initial=0))[1]
+        with np.errstate(over="ignore"):
+            out[far] = np.ldexp(np.sqrt((np.ldexp(diff, -scale[:, None]) ** 2).sum(1)), scale + shift)
+    return out
+
+
+def magnitude_band(vector: Column) -> Column:
+    """A number for vectors whose largest component lies within the same 32 powers of two; 0 holds 1."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    return F.floor((F.log2(most) + BAND / 2) / BAND).cast("int")
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by the keys to several times as many tasks as `rows`, the number of its groups: few heavy groups
+    seldom meet in a task, and Spark does not merge the tasks by their bytes."""
+    return df.repartition(max(1, min(4 * rows, MOST_TASKS)), *keys)
+
+
 def shard_counts(df: DataFrame, groups: list[str], rows: int) -> DataFrame:
     """(groups..., shards): how many shards of about `rows` rows each group needs."""
     return df.groupBy(*groups).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("shards"))

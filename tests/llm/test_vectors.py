@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from symlattice.llm import nearest, proximity, vectordedup
+from symlattice.llm import nearest, proximity, vectordedup, vectors
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -81,3 +81,54 @@ def test_graphs_reach_every_point():
     assert len(q) >= 0.999 * want
     for cls in (proximity.RobustGraph, proximity.LayeredGraph):
         assert cls.build(np.zeros((1, 4), np.float32)) is not None
+
+
+EXTREME = [1e-200, 1e-40, 1e20, 3e38, 1e39, 1e200]
+
+
+@pytest.mark.parametrize("size", EXTREME)
+def test_graphs_of_extreme_vectors_end(size):
+    x = np.array([[1.0, 2.0], [2.0, 1.0], [-1.0, 0.5]]) * size
+    u = vectors.unit(x)
+    assert np.allclose(np.sqrt((u**2).sum(1)), 1) and proximity.LayeredGraph.build(u) is not None
+    d = vectors.euclid(x[:1].repeat(2, 0), x[1:])
+    assert np.allclose(d / size, [np.sqrt(2), 2.5])
+    with np.errstate(all="ignore"), pytest.raises(ValueError):
+        proximity.connect(np.array([[1.0], [np.inf]]), np.full((2, 2), -1), np.array([0, 1]), 0)
+
+
+def test_extreme_vectors(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(40, 4)) * s for s in (1.0, *EXTREME)])
+    x[1::2] = x[::2] * (1 + 1e-3 * r.normal(size=x[::2].shape))
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {a["vec_id"]: a["n_links"] for a in vectordedup.near_vectors(df, shard_rows=100).collect()}
+    u = vectors.unit(x)
+    assert [got[i] for i in range(len(x))] == [int((u @ u[i] >= 0.98).sum()) - 1 for i in range(len(x))]
+    asked = df.where("vec_id % 10 = 0")
+    hit = total = 0
+    found = nearest.search(nearest.build_index(df, shard_rows=100), asked).collect()
+    for q in range(0, len(x), 10):
+        d = vectors.euclid(x, np.broadcast_to(x[q], x.shape))
+        want = sorted((v, i) for i, v in enumerate(d) if i != q)[:10]
+        mine = [(a["score"], a["vec_id"]) for a in sorted((a for a in found if a["query_id"] == q), key=lambda a: a["rank"])]
+        assert len(mine) == 10 and all(s == d[i] for s, i in mine)
+        hit += len(set(mine) & set(want))
+        total += 10
+    assert hit / total >= 0.9
+
+
+def test_links_count_both_ways():
+    r = np.random.default_rng(2)
+    x = vectors.unit(r.normal(size=(3, 8))[r.integers(0, 3, 700)] + 0.05 * r.normal(size=(700, 8)))
+    y = vectors.unit(r.normal(size=(3, 8))[r.integers(0, 3, 300)] + x[:300])
+    graphs = [proximity.LayeredGraph.build(z) for z in (x, y)]
+    one, two = np.ones(len(x), np.int64), np.ones(len(y), np.int64)
+    n_x, n_y, label = vectordedup.both_ways(graphs[0], x, graphs[1], y, 0.98, 32, 0.02, one, two)
+    near = x @ y.T >= 0.98
+    assert (n_x == near.sum(1)).all() and (n_y == near.sum(0)).all()
+    a, b = np.nonzero(near)
+    assert (label == proximity.groups(len(x) + len(y), a, b + len(x))).all()
+    own, _, _ = vectordedup.both_ways(graphs[0], x, None, x, 0.98, 32, 0.02, one, one)
+    assert (own == (x @ x.T >= 0.98).sum(1) - 1).all()
