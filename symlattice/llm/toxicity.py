@@ -43,11 +43,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("double").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    # sample rows of two numbers at most, whatever the tables' size
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", term_set(F.col("_text")).alias("_terms"))
-    got = rows.toArrow()
-    order = np.argsort(got["_id"].to_numpy(), kind="stable") if got.num_rows else np.zeros(0, np.int64)
-    got = got.take(pa.array(order))
+    # sample rows of two numbers at most, whatever the tables' size; ids may repeat in docs, so the bound holds again
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = plain.select("_id", "_y", F.xxhash64("_text").alias("_h"), term_set(F.col("_text")).alias("_terms"))
+    got = rows.orderBy(F.xxhash64("_id"), "_id", "_h").limit(sample).select("_id", "_y", "_terms").toArrow()
     lists = got["_terms"].combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     terms = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
