@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.llm.text import words
-from symlattice.staging import cut
+from symlattice.staging import cut, sent
 
 #: Features are hashed to so many numbers.
 SIZE = 1 << 16
 #: Documents that the scorer is fitted on at most: those whose texts have the least hashes.
 SAMPLE = 20_000
 
-#: Hashes of rejected texts that are sent to every executor.
-BROADCAST_ROWS = 1_000_000
+#: Beta priors: votes of `bad` and others, for good texts, for the junk a labeller knows, and for other junk.
+FALSE, KNOWN, OTHER = (1.0, 49.0), (9.0, 1.0), (1.0, 4.0)
+
+#: Features of documents that are folded at a time.
+FOLD = 1 << 18
 
 #: Name: (bad from, good to) for a statistic that is large in bad texts; the other way round if bad < good.
 LABELLERS: dict[str, tuple[float, float]] = {
@@ -27,6 +30,7 @@ LABELLERS: dict[str, tuple[float, float]] = {
     "decorated": (0.25, 0.05),  # words that end in two marks or more
     "bare": (0.10, 0.03),  # words without a letter or digit
     "echo": (0.10, 0.02),  # words equal to the one before
+    "stutter": (0.08, 0.03),  # words equal to the last but one before
     "variety": (0.45, 0.60),  # log of the distinct words to log of the words
     "length": (2.0, 2.8),  # letters and digits in a word
     "bulk": (0.0, 1.0),  # words
@@ -45,6 +49,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "decorated": F.when(many, F.col("_decorated") / n),
         "bare": F.when(many, F.col("_bare") / n),
         "echo": F.when(many, F.col("_echo") / n),
+        "stutter": F.when(many, F.col("_stutter") / n),
         "variety": F.when(n >= 30, F.log(F.size(F.array_distinct(w)).cast("double")) / F.log(n.cast("double"))),
         "length": F.when(many, (upper + lower) / n),
         "bulk": n.cast("double"),
@@ -74,7 +79,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "_lower": F.length("_shape") - F.length(F.replace("_shape", F.lit("a"), F.lit(""))),
             "_marks": F.length(F.regexp_replace("_shape", "[Aa0\\s.,;:'\"()?-]+", "")),
             "_shapes": words(tight),
-            "_echo": F.aggregate(F.arrays_zip(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("x"), w.alias("y")), F.lit(0), lambda n, p: n + F.when(p["x"] == p["y"], 1).otherwise(0)),
+            "_echo": F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))),
+            "_stutter": F.size(F.filter(w, lambda x, i: x == F.get(w, i - 2))),
         }
     )
     three = two.withColumns(
@@ -91,52 +97,80 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """What EM made of the labellers: log odds of `good` by the share of it, and by each vote."""
+    """What EM made of the labellers: how common each class is (good first, then the junk that each
+    labeller knows), and how often each labeller's vote is bad in each class, when it votes."""
+
+    share: np.ndarray  # (1 + labellers,)
+    bad: np.ndarray  # (1 + labellers, labellers)
+
+    @property
+    def accuracy(self) -> np.ndarray:
+        """How often each labeller is right, where it does not abstain: `good` on good texts and `bad` on those it knows."""
+        own = np.diag(self.bad[1:])
+        return (self.share[0] * (1 - self.bad[0]) + self.share[1:] * own) / (self.share[0] + self.share[1:])
 
-    prior: float
-    odds: np.ndarray  # (labellers, 3): of the votes -1, 0, 1
-    accuracy: np.ndarray
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """(votes, classes): the probability of each class given the votes."""
+        against, cast = (votes == 0).astype(float), (votes >= 0).astype(float)
+        z = np.log(self.share) + against @ np.log(self.bad).T + (cast - against) @ np.log1p(-self.bad).T
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + self.odds[np.arange(votes.shape[1]), votes + 1].sum(1)
-        return 1 / (1 + np.exp(-z))
+        return self.classes(votes)[:, 0]
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0, least: float = 5.0, most: float = 0.4) -> LabelModel:
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 300, settled: float = 1e-7) -> LabelModel:
     """votes: (patterns, labellers) of -1, 0, 1, each pattern seen counts times.
 
-    Two classes; a labeller's answers have a distribution for each class, independent given the class,
-    and an abstention says nothing. Junk is of several kinds, of which a labeller knows one, so the
-    first guess is that a text with any bad vote is bad; a bad vote is worth `least` in log odds at
-    least and a good one (which only denies one kind) `most` at most, lest a rare kind of junk be
-    taken for good because the other labellers do not object to it.
+    A text is good or junk of one kind; each labeller knows one kind. Given the class the labellers
+    answer independently, and an abstention says nothing. Estimated are the classes' shares and, for
+    each labeller, how often it objects to good texts, to the junk it knows, and to junk of other
+    kinds. So it counts who agrees with whom: a labeller that objects at random, alone, comes to be a
+    labeller that objects to good texts, and a kind of junk that two labellers see is not outvoted by
+    the others, who deny other kinds only. The rates have Beta priors (FALSE, KNOWN, OTHER) of a few
+    documents' weight, which the data outweigh; nothing is clipped.
     """
-    c = counts.astype(float)
-    q = np.where((votes == 0).any(1), 0.05, 0.95)
-    flat = (votes[:, :, None] == np.array([0, 1])).astype(float).reshape(len(c), 2 * votes.shape[1])
+    n, of = counts.astype(float), votes.shape[1]
+    against, cast, own = (votes == 0).astype(float), (votes >= 0).astype(float), np.eye(of, dtype=bool)
+    objected = against.sum(1, keepdims=True)
+    # the first guess: any objection is probably right
+    r = np.where(objected > 0, np.hstack([np.full((len(n), 1), 0.05), 0.95 * against / np.maximum(objected, 1)]), np.hstack([np.full((len(n), 1), 0.95), np.full((len(n), of), 0.05 / max(of, 1))]))
     for _ in range(rounds):
-        good, bad = (c * q) @ flat, (c * (1 - q)) @ flat
-        g, b = good.reshape(-1, 2) + smooth, bad.reshape(-1, 2) + smooth
-        g, b = g / g.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
-        odds = np.log(g / b)
-        odds = np.stack([np.zeros(len(odds)), np.minimum(odds[:, 0], -least), np.clip(odds[:, 1], 0, most)], 1)
-        prior = float(np.clip(((c * q).sum() + smooth) / (c.sum() + 2 * smooth), 1e-4, 1 - 1e-4))
-        model = LabelModel(prior, odds, prior * g[:, 1] + (1 - prior) * b[:, 0])
-        new = model.posterior(votes)
-        if len(q) == 0 or np.abs(new - q).max() < 1e-6:
+        w = n[:, None] * r
+        b, s = w.T @ against, w.T @ cast
+
+        def rate(x: np.ndarray, y: np.ndarray, prior: tuple[float, float]) -> np.ndarray:
+            return (x + prior[0]) / (y + sum(prior))
+
+        others = rate(np.where(own, 0, b[1:]).sum(0), np.where(own, 0, s[1:]).sum(0), OTHER)
+        bad = np.vstack([rate(b[0], s[0], FALSE), np.where(own, rate(np.diag(b[1:]), np.diag(s[1:]), KNOWN)[:, None], others[None, :])])
+        model = LabelModel((w.sum(0) + 1) / (n.sum() + of + 1), bad)
+        new = model.classes(votes)
+        if not len(n) or np.abs(new - r).max() < settled:
             break
-        q = new
+        r = new
     return model
 
 
-def _fold(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(document, feature, value) for each distinct feature of each list, and the number of lists. A
-    feature counts by the root of its share of the list."""
-    terms = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    key, where = np.unique(np.repeat(np.arange(len(lengths)), lengths) * SIZE + terms, return_inverse=True)
-    doc, term = key // SIZE, key % SIZE
-    return doc, term, np.sqrt(np.bincount(where, minlength=len(key)) / np.maximum(lengths[doc], 1)), len(lengths)
+def _fold(lists: pa.Array, most: int = FOLD) -> pa.Array:
+    """{terms, weights} for each list of features: its distinct ones, each with the root of its share of
+    the list. About `most` features are worked on at a time, or one longer list."""
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    flat, at, sizes, terms, weights = lists.flatten(), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        length = np.diff(ends[at : to + 1])
+        part = flat.slice(ends[at], ends[to] - ends[at]).to_numpy(zero_copy_only=False)
+        key, count = np.unique(np.repeat(np.arange(to - at), length) * SIZE + part, return_counts=True)
+        doc = key // SIZE
+        sizes.append(np.bincount(doc, minlength=to - at))
+        terms.append((key % SIZE).astype(np.int32))
+        weights.append(np.sqrt(count / np.maximum(length[doc], 1)).astype(np.float32))
+        at = to
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
+    parts = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), kind)) for x, kind in ((terms, pa.int32()), (weights, pa.float32()))]
+    return pa.StructArray.from_arrays(parts, ["terms", "weights"])
 
 
 def _fit_scorer(lists: list[list[int]], values: list[list[float]], labels: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -165,10 +199,7 @@ def folded(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
 
     @F.arrow_udf("struct<terms:array<int>,weights:array<float>>")
     def fold(lists: pa.Array) -> pa.Array:
-        doc, term, value, n = _fold(lists)
-        ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
-        parts = [pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value, pa.float32()))]
-        return pa.StructArray.from_arrays(parts, ["terms", "weights"])
+        return _fold(lists)
 
     plain = docs.select(*keep, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("h"))
     return cut(measured(plain, "_text").select(*keep, "h", F.col("_votes").alias("votes"), fold("_features").alias("f")), "folded")
@@ -203,10 +234,11 @@ def score(seen: DataFrame, model) -> DataFrame:
         m = np.bincount(doc, values.flatten().to_numpy(zero_copy_only=False) * w[terms.flatten().to_numpy(zero_copy_only=False)], len(f))
         return pa.array(1 / (1 + np.exp(-np.clip(b + m, -500, 500))))
 
-    z = F.lit(float(np.log(labels.prior / (1 - labels.prior))))
-    for j, row in enumerate(labels.odds):
-        z = z + F.element_at(F.array(*[F.lit(float(x)) for x in row]), F.col("votes")[j] + 2)
-    return seen.withColumn("weak_label", 1 / (1 + F.exp(-z))).withColumn("quality_score", judge("f")).drop("f")
+    rates = [(float(np.log(p)), [(0.0, float(x), float(y)) for x, y in zip(np.log(r), np.log1p(-r), strict=True)]) for p, r in zip(labels.share, labels.bad, strict=True)]
+    # log likelihoods of the classes; an abstention adds nothing
+    z = [sum((F.element_at(F.array(*map(F.lit, row)), F.col("votes")[j] + 2) for j, row in enumerate(rows)), F.lit(p)) for p, rows in rates]
+    weak = 1 / F.aggregate(F.transform(F.array(*z[1:]), lambda x: F.exp(x - F.col("_z"))), F.lit(1.0), lambda a, x: a + x)
+    return seen.withColumn("_z", z[0]).withColumn("weak_label", weak).withColumn("quality_score", judge("f")).drop("f", "_z")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cutoff: float = 0.5) -> DataFrame:
@@ -229,5 +261,4 @@ def accept(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, cutoff
     text = names[docs.columns.index(text_col)]
     seen = folded(plain.select(F.col(text).alias("text")), [])
     bad = cut(score(seen, fit(seen, sample)).where(F.col("quality_score") < cutoff).select(F.col("h").alias("_h")).distinct(), "rejected")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return plain.join(bad, F.xxhash64(text) == F.col("_h"), "left_anti").toDF(*docs.columns)
+    return plain.join(sent(bad), F.xxhash64(text) == F.col("_h"), "left_anti").toDF(*docs.columns)
