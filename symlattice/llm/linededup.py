@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.operators.components import connected_components
-from symlattice.staging import cut
+from symlattice.staging import cut, sent
 
-#: Shorter lines (after trimming) are left alone: they repeat without being copies.
+#: Shorter lines (after trimming) count as repeats only if they are equal: one edit makes them another line.
 MIN_CHARS = 20
-#: Rows of a table that is sent to every executor; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A class of more lines than this is dealt to so many tasks.
+CROWD, SALTS = 10_000, 64
 
 
 def line_key(line: Column) -> Column:
@@ -111,29 +111,41 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.where(_let(_let(common_prefix(F.col("s"), F.col("t")), rest), near)).select("a", "b")
 
 
+def _pieces(lines: DataFrame, more: int) -> DataFrame:
+    """(node, key, middle): each line as all but one of the about sqrt(n) pieces of a line of n = len + more
+    characters (key, a hash), and what stands in the place of that piece."""
+    n = F.col("len") + more
+    places = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.struct(i.alias("i"), F.floor(n * i / F.col("m")).cast("int").alias("lo"), F.floor(n * (i + 1) / F.col("m")).cast("int").alias("hi")))
+    cut_out = lines.withColumn("m", F.ceil(F.sqrt(n)).cast("int")).select("node", "norm", "len", F.explode(places).alias("p")).select("node", "norm", "len", "p.*")
+    after = n - F.col("hi")
+    key = F.xxhash64(n, "i", F.substring("norm", F.lit(1), F.col("lo")), F.substring("norm", F.col("len") - after + 1, after))
+    return cut_out.select("node", key.alias("key"), F.substring("norm", F.col("lo") + 1, F.col("len") - after - F.col("lo")).alias("middle"))
+
+
 def _one_edit_stars(lines: DataFrame) -> DataFrame:
     """(a, b): links that connect exactly those lines that are one edit apart, in a number of rows that
     grows with the lines' length and not with the square of a crowd.
 
-    Lines that agree when their p-th character is left out are one substitution apart, all of them
-    from each other: each links to the least. A line without one character is another line at most.
+    Lines that agree but for a piece meet first; of a line of n characters that are sqrt(n) rows of
+    sqrt(n) characters. Only where several lines meet, characters are left out: those that agree when
+    the p-th character of the piece is left out are one substitution apart, all of them from each
+    other: each links to the least. A piece without one character is one other piece at most.
     """
-    places = F.sequence(F.lit(1), F.col("len"))
-    rest = F.transform(places, lambda p: F.concat(F.substring(F.col("norm"), F.lit(1), p - 1), F.substring(F.col("norm"), p + 1, F.col("len"))))
-    cuts = lines.select("node", "len", F.posexplode(rest).alias("p", "rest")).select("node", F.xxhash64("len", "p", "rest").alias("same"), F.xxhash64("rest").alias("short"))
-    cuts = cut(cuts, "cuts")
+    rows = cut(_pieces(lines, 0).withColumn("more", F.lit(0)).unionByName(_pieces(lines, 1).withColumn("more", F.lit(1))), "pieces")
+    met = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    rows = cut(rows.join(met, "key", "left_semi"), "met")
+    places = F.sequence(F.lit(1), F.length("middle"))
+    rest = F.transform(places, lambda p: F.concat(F.substring(F.col("middle"), F.lit(1), p - 1), F.substring(F.col("middle"), p + 1, F.length("middle"))))
+    own = rows.where((F.col("more") == 0) & (F.length("middle") > 0)).select("node", "key", F.posexplode(rest).alias("p", "rest"))
+    cuts = cut(own.select("node", F.xxhash64("key", "p", "rest").alias("same"), F.xxhash64("key", "rest").alias("short")), "cuts")
     least = cuts.groupBy("same").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("same", "b")
     swapped = cuts.join(least, "same").where("node <> b").select(F.col("node").alias("a"), "b")
-    whole = lines.select(F.col("node").alias("b"), F.xxhash64("norm").alias("short"))
+    # a line that lacks a character appears under the keys of lines one longer
+    whole = rows.where("more = 1").select(F.col("node").alias("b"), F.xxhash64("key", "middle").alias("short"))
     longer = cuts.select(F.col("node").alias("a"), "short").distinct().join(whole, "short").where("a <> b").select("a", "b")
     return swapped.unionByName(longer)
 
 
-def _sent(table: DataFrame) -> DataFrame:
-    """A written table of ids for a join: sent to all executors if it is small, else shuffled."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def line_classes(lines: DataFrame, edits: int = 1, hot: int = 32) -> DataFrame:
     """(node, root) for the lines that have another within `edits` edits, over any number of links.
 
@@ -151,7 +163,7 @@ def line_classes(lines: DataFrame, edits: int = 1, hot: int = 32) -> DataFrame:
         many = cut(crowded, "crowded")
         pairs = probe.join(index.join(many, "key", "left_anti"), "key")
         touched = cut(rows.join(many, "key", "left_semi").select("node").distinct(), "touched")
-        stars = _one_edit_stars(lines.join(_sent(touched), "node", "left_semi"))
+        stars = _one_edit_stars(lines.join(sent(touched), "node", "left_semi"))
     else:
         pairs, stars = probe.join(index, "key"), None
     edges = pairs.where("r <> q").select(F.greatest("r", "q").alias("a"), F.least("r", "q").alias("b"))
@@ -160,7 +172,7 @@ def line_classes(lines: DataFrame, edits: int = 1, hot: int = 32) -> DataFrame:
     edges = cut(edges.distinct(), "candidates")
     needed = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     n = needed.count()
-    texts = cut(lines.join(_sent(needed), "node", "left_semi").select("node", "norm", "len"), "texts")
+    texts = cut(lines.join(sent(needed), "node", "left_semi").select("node", "norm", "len"), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("norm").alias("x"), F.col("len").alias("lx"))
     right = texts.select(F.col("node").alias("b"), F.col("norm").alias("y"), F.col("len").alias("ly"))
     both = edges.join(left, "a").join(right, "b").where(F.abs(F.col("lx") - F.col("ly")) <= edits)
@@ -174,25 +186,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, positions): the lines (from 0, in order) of each text, told by id and the text's XXH64,
     that repeat an earlier line of the corpus; texts without such lines have no row.
 
-    Lines end at newlines. Those of min_chars characters or more (trimmed) fall into classes: equal in
-    lower case without blanks at the ends, or linked by `edits` edits or fewer over any number of
-    steps. A class's first line stays, in order of id (null last), text hash and position.
+    Lines end at newlines; those of blanks alone are never repeats. The others fall into classes: equal
+    in lower case without blanks at the ends, or, with min_chars characters or more each (trimmed),
+    linked by `edits` edits or fewer over any number of steps. A class's first line stays, in order of
+    id (null last), text hash and position.
     """
     if min_chars <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    each = each.withColumn("norm", line_key(F.col("line"))).where(F.length("norm") >= min_chars).select("id", "th", "pos", "norm")
+    each = each.withColumn("norm", line_key(F.col("line"))).where("norm <> ''").select("id", "th", "pos", "norm")
     kinds = each.groupBy("norm").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), "norm", F.length("norm").alias("len"), "n")
     kinds = cut(kinds, "lines")
     hashes = [F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("g")]
-    near = line_classes(kinds.select("node", "norm", "len"), edits)
-    linked = near.join(kinds.select("node", *hashes), "node").select("h", "g", "root")
-    alone = kinds.where("n > 1").select("node", *hashes).join(near.select("node"), "node", "left_anti").select("h", "g", F.col("node").alias("root"))
+    near = line_classes(kinds.where(F.col("len") >= min_chars).select("node", "norm", "len"), edits)
+    linked = near.join(kinds.select("node", "n", *hashes), "node").select("h", "g", "root", "n")
+    alone = kinds.where("n > 1").select("node", "n", *hashes).join(near.select("node"), "node", "left_anti").select("h", "g", F.col("node").alias("root"), "n")
     several = cut(linked.unionByName(alone), "several")
-    slim = each.select("id", "th", "pos", *hashes).join(several, ["h", "g"]).select("root", F.struct(F.col("id").isNull().alias("z"), "id", "th", "pos").alias("at"))
+    crowds = cut(several.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD).select("root", F.lit(SALTS).alias("salts")), "crowds")
+    several = several.select("h", "g", "root").join(sent(crowds), "root", "left").select("h", "g", "root", F.coalesce("salts", F.lit(1)).alias("salts"))
+    slim = each.select("id", "th", "pos", *hashes).join(sent(cut(several, "several")), ["h", "g"])
+    slim = slim.select("root", "salts", F.pmod(F.xxhash64("id", "th", "pos"), F.col("salts")).alias("salt"), F.struct(F.col("id").isNull().alias("z"), "id", "th", "pos").alias("at"))
     slim = cut(slim, "repeats")
-    first = slim.groupBy("root").agg(F.min("at").alias("first"))
-    gone = slim.join(first, "root").where(~F.col("at").eqNullSafe(F.col("first")))
+    # a crowd is compared with its first line in SALTS tasks
+    first = slim.groupBy("root", "salts").agg(F.min("at").alias("first"))
+    first = first.select("root", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"))
+    gone = slim.join(first, ["root", "salt"]).where(~F.col("at").eqNullSafe(F.col("first")))
     return gone.groupBy("at.id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("positions"))
 
 
@@ -209,7 +227,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*names)
     gone = cut(repeated_lines(plain, key, text, edits, min_chars), "gone")
     gone = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "positions")
-    wide = plain.withColumn("_t", F.xxhash64(text)).join(_sent(gone), F.col("_t").eqNullSafe(F.col("_th")) & F.col(key).eqNullSafe(F.col("_id")), "left")
+    wide = plain.withColumn("_t", F.xxhash64(text)).join(sent(gone), F.col("_t").eqNullSafe(F.col("_th")) & F.col(key).eqNullSafe(F.col("_id")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("positions"), i)), "\n")
     new = F.when(F.col("positions").isNull(), F.col(text)).otherwise(kept)
     extra = "removed_lines" if "removed_lines" not in [c.lower() for c in docs.columns] else "_removed_lines"
