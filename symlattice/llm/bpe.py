@@ -9,14 +9,12 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.pretokens import ChunkEncoder
-
-#: Rows are sent back when they hold so many ids and bytes together.
-FLUSH = 1 << 21
+from symlattice.llm.pretokens import MOST, ChunkEncoder, slices
 
 
 BIT = [1 << i for i in range(256)]
@@ -64,7 +62,7 @@ class RankQueue:
 class Codec:
     """Encoding and decoding by a table of ranks, each match of the pattern by itself; no special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MOST):
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.vocabulary: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -72,11 +70,11 @@ class Codec:
         self.queue = RankQueue(len(self.vocabulary))
         # Rust's \s is the property White_Space; Python's has the four separators 1C to 1F besides
         self.matches = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
-        self.most, self.pieces = most, dict[str, list[int]]()
-        self.chunks = ChunkEncoder(self.encode_chunk, most)
+        self.pieces, self.most = dict[str, list[int]](), max(1, most // 4)
+        self.chunks = ChunkEncoder(lambda texts: [np.array(self.encode_chunk(t), "<u4").tobytes() for t in texts], most)
 
     @classmethod
-    def from_file(cls, path: str, pattern: str, most: int = 1 << 19) -> Codec:
+    def from_file(cls, path: str, pattern: str, most: int = MOST) -> Codec:
         """path: lines of a base64 token and its rank."""
         with open(path, "rb") as f:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}, pattern, most)
@@ -151,7 +149,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     ranks_path is a file of the installation, at the same place on every machine. A null text counts as
     empty and has no ids; repeated rows are encoded each; ids may be null. One pass over the rows, no
-    shuffle; a worker holds the vocabulary, a bounded cache of chunks and one text at a time. Other
+    shuffle; a worker holds the vocabulary, a bounded cache of chunks and texts of about 4 MB, or one
+    longer text, at a time. Other
     columns of docs are not read.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
@@ -160,23 +159,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(ranks_path, pattern)
         for batch in batches:
-            names, start, ids, decoded, held = batch.column(0), 0, [], [], 0
-            for i, text in enumerate(batch.column(1)):
-                mine = codec.encode(text.as_py())
-                ids.append(pa.array(mine.view(np.int32)))
-                decoded.append(codec.decode(mine))
-                held += len(mine)
-                if held >= FLUSH or i == batch.num_rows - 1:
-                    offsets = pa.array([0, *_sums(len(x) for x in ids)], pa.int32())
-                    lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids))
-                    yield pa.RecordBatch.from_arrays([names.slice(start, len(ids)), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
-                    start, ids, decoded, held = i + 1, [], [], 0
+            for at, texts in slices(batch.column(1)):
+                ids, counts = codec.chunks.batch(pc.fill_null(texts, ""))
+                ends = _ends(counts)
+                decoded = [codec.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     return plain.mapInArrow(work, schema)
 
 
-def _sums(numbers) -> Iterator[int]:
-    total = 0
-    for x in numbers:
-        total += x
-        yield total
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])

@@ -86,17 +86,28 @@ class EliasFano:
             lower = (chunk >> (at & 7)) & ((1 << self.width) - 1)
         return (self.select(i) - i) << self.width | lower
 
-    def all(self) -> np.ndarray:
-        """All numbers, as int64."""
-        if not self.n:
+    def take(self, first: int, past: int) -> np.ndarray:
+        """The numbers from the first-th to before the past-th, as int64: select leads to the two ends, and
+        only the bits between them are read."""
+        if not 0 <= first <= past <= self.n:
+            raise IndexError((first, past))
+        if first == past:
             return np.zeros(0, np.int64)
-        places = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)) << self.width
+        lo, hi = self.select(first), self.select(past - 1)
+        places = np.flatnonzero(np.unpackbits(self._high[lo >> 3 : (hi >> 3) + 1], bitorder="little")) + (lo >> 3 << 3)
+        places = places[np.searchsorted(places, lo) :][: past - first]
+        out = (places - np.arange(first, past)) << self.width
         if self.width:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.n * self.width, bitorder="little").reshape(self.n, self.width)
+            at = first * self.width
+            part = np.frombuffer(self.low, np.uint8)[at >> 3 : (past * self.width + 7) >> 3]
+            bits = np.unpackbits(part, bitorder="little")[at & 7 :][: (past - first) * self.width].reshape(-1, self.width)
             out = out | (bits.astype(np.int64) << np.arange(self.width)).sum(axis=1)
         return out.astype(np.int64)
 
+    def all(self) -> np.ndarray:
+        """All numbers, as int64."""
+        return self.take(0, self.n)
+
 
 def _nth_one(byte: int, k: int) -> int:
     for _ in range(k):

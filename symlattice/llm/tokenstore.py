@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlattice.llm.eliasfano import EliasFano
-from symlattice.llm.pretokens import ChunkEncoder
+from symlattice.llm.pretokens import ChunkEncoder, slices
 from symlattice.llm.ranking import before
 
 MAGIC, _HEAD = b"TKEF", struct.Struct("<4sB3xQQ")
 #: A segment is closed when it has so many ids; a longer document has one of its own.
 SEGMENT_IDS = 1 << 20
+#: Documents of a segment that are read at a time.
+BLOCK = 4096
 
 
 class Segment:
@@ -46,11 +48,10 @@ class Segment:
         return self.all_ids[self.starts[i] : self.starts[i + 1]]
 
 
-def segment_bytes(documents: list[np.ndarray], width: int) -> bytes:
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in documents], dtype=np.int64)])
-    index = EliasFano.encode(starts).to_bytes()
-    ids = np.concatenate([x.astype(f"<u{width}", copy=False) for x in documents])
-    return _HEAD.pack(MAGIC, width, len(ids), len(index)) + ids.tobytes() + index
+def segment_bytes(ids: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """ids: of all documents one after the other; counts: how many each has."""
+    index = EliasFano.encode(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])).to_bytes()
+    return _HEAD.pack(MAGIC, width, len(ids), len(index)) + ids.astype(f"<u{width}", copy=False).tobytes() + index
 
 
 @lru_cache(maxsize=2)
@@ -61,7 +62,23 @@ def shared_encoder(path: str) -> tuple[ChunkEncoder, int]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return ChunkEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids), tokenizer.get_vocab_size(with_added_tokens=True)
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    # a byte-level token is written with one character for each of its bytes
+    width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        """All in one call where their tokens can be told apart by the bytes they stand for."""
+        if len(texts) > 1 and all(t[:1] == " " and not t[1:2].isspace() for t in texts):
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            covered = np.cumsum(width[ids])
+            last = np.searchsorted(covered, ends)
+            if len(ids) and last[-1] < len(ids) and (covered[last] == ends).all():
+                first = np.concatenate([[0], last[:-1] + 1])
+                return [ids[a : b + 1].tobytes() for a, b in zip(first, last, strict=True)]
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return ChunkEncoder(encode), size
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
@@ -82,29 +99,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, size = shared_encoder(tokenizer_path)
         width = 2 if max(size - 1, end_id) < 1 << 16 else 4
-        place, names, documents, held = None, [], [], 0
+        shard, segment, names, sizes, parts, held, types = None, 0, [], [], [], 0, None
 
         def flush() -> pa.RecordBatch:
-            shard, segment = place
-            row = [[shard], [segment], [len(documents)], [held], [pa.concat_arrays(names).to_pylist()], [segment_bytes(documents, width)]]
+            counts = np.concatenate(sizes)
+            row = [[shard], [segment], [len(counts)], [held], [pa.concat_arrays(names).to_pylist()], [segment_bytes(np.concatenate(parts), counts, width)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["shard", "segment", "n_docs", "n_ids", "ids", "data"])
 
-        types = None
         for batch in batches:
             types = types or [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.column(1).type), pa.binary()]
-            for i in range(batch.num_rows):
-                shard = batch.column(0)[i].as_py()
-                if place and (place[0] != shard or held >= SEGMENT_IDS):
-                    yield flush()
-                    place = (shard, place[1] + 1 if place[0] == shard else 0)
-                    names, documents, held = [], [], 0
-                place = place or (shard, 0)
-                text = batch.column(2)[i].as_py()
-                mine = np.append(chunks.ids(text), np.uint32(end_id)).astype(f"<u{width}")
-                names.append(batch.column(1).slice(i, 1))
-                documents.append(mine)
-                held += len(mine)
-        if documents:
+            shard = batch.column(0)[0].as_py() if shard is None and batch.num_rows else shard
+            for at, texts in slices(batch.column(2)):
+                ids, counts = chunks.batch(texts)
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(f"<u{width}"), counts + 1
+                ends, i, past = np.cumsum(counts), 0, 0
+                while i < len(counts):
+                    # the document with which the segment is full is its last
+                    to = min(len(counts), int(np.searchsorted(ends, past + SEGMENT_IDS - held)) + 1)
+                    names.append(batch.column(1).slice(at + i, to - i))
+                    sizes.append(counts[i:to])
+                    parts.append(ids[past : ends[to - 1]])
+                    held += int(ends[to - 1]) - past
+                    i, past = to, int(ends[to - 1])
+                    if held >= SEGMENT_IDS:
+                        yield flush()
+                        segment, names, sizes, parts, held = segment + 1, [], [], [], 0
+        if names:
             yield flush()
 
     dealt.mapInArrow(work, f"shard int, segment int, n_docs int, n_ids long, ids array<{kind}>, data binary").write.parquet(path)
@@ -123,15 +143,35 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                segment = Segment(batch.column(3)[i].as_py())
-                starts = segment.starts.all()
-                crc = [zlib.crc32(segment.all_ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                n = len(segment)
-                columns = [pa.array([batch.column(k)[i].as_py()] * n, pa.int32()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(range(n), pa.int32()), batch.column(2).slice(i, 1).flatten(), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())],
-                    ["shard", "segment", "place", "id", "local", "n_tokens", "ids_crc32"],
-                )
+                segment, names = Segment(batch.column(3)[i].as_py()), batch.column(2).slice(i, 1).flatten()
+                for lo in range(0, len(segment), BLOCK):
+                    hi = min(lo + BLOCK, len(segment))
+                    starts = segment.starts.take(lo, hi + 1)
+                    crc = [zlib.crc32(segment.all_ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                    columns = [pa.array([batch.column(k)[i].as_py()] * (hi - lo), pa.int32()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(range(lo, hi), pa.int32()), names.slice(lo, hi - lo), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())],
+                        ["shard", "segment", "place", "id", "local", "n_tokens", "ids_crc32"],
+                    )
 
     found = table.select("shard", "segment", "ids", "data").mapInArrow(work, f"shard int, segment int, place int, id {kind}, local long, n_tokens long, ids_crc32 long")
     return found.join(offsets, ["shard", "segment"]).select("id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", "segment", "place")
+
+
+def fetch_tokens(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, ids array<long>) of the documents of a token table whose id is in `wanted`, each read alone:
+    two selects on its segment's index give the range of its ids. Null ids are not found; a document
+    that is stored several times comes as often."""
+    table = spark.read.parquet(path)
+    kind = table.schema["ids"].dataType.elementType.simpleString()
+    places = table.select("shard", "segment", F.posexplode("ids").alias("place", "id")).join(wanted.select(F.col(id_col).alias("id")).distinct(), "id")
+    of = places.groupBy("shard", "segment").agg(F.collect_list(F.struct("place", "id")).alias("docs"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment, docs = Segment(batch.column(1)[i].as_py()), batch.column(0)[i].as_py()
+                found = [segment.ids(d["place"]).astype(np.int64) for d in docs]
+                yield pa.RecordBatch.from_arrays([pa.array([d["id"] for d in docs], batch.schema.field(0).type.value_type.field("id").type), pa.array(found, pa.list_(pa.int64()))], ["id", "ids"])
+
+    return table.select("shard", "segment", "data").join(of, ["shard", "segment"]).select("docs", "data").mapInArrow(work, f"id {kind}, ids array<long>")
