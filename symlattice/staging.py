@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,44 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the session's process ends."""
+    """A new path in the shared folder; it is removed at the end of the Scratch around it, if there is one,
+    and in any case when the session's process ends."""
     path = f"{shared_folder(spark)}/symlattice/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    if open_ := _scratches.get():
+        open_[-1].paths.append(path)
     return path
 
 
+_scratches: ContextVar[tuple[Scratch, ...]] = ContextVar("scratches", default=())
+
+
+class Scratch:
+    """The tables that are cut within `with Scratch(spark) as s` are removed at its end, but for those that
+    s.keep() names: an operator whose result rests on one written table leaves nothing else behind."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.token = spark, [], None
+
+    def __enter__(self) -> Scratch:
+        self.token = _scratches.set((*_scratches.get(), self))
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, a cut() table, which now belongs to what is around this."""
+        files = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        kept = [p for p in self.paths if p.rpartition("/")[2] in files]
+        self.paths = [p for p in self.paths if p not in kept]
+        if outer := _scratches.get()[:-1]:
+            outer[-1].paths += kept
+        return df
+
+    def __exit__(self, *error) -> None:
+        _scratches.reset(self.token)
+        for p in self.paths:
+            _remove(self.spark, p)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """df, written once as Parquet to the shared folder and read back.
 
