@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.pretokens import MOST, ChunkEncoder, slices
+from symlattice.llm.pretokens import MOST, ChunkEncoder, give_back, slices
 
 
 BIT = [1 << i for i in range(256)]
@@ -165,6 +165,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 decoded = [codec.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
+            give_back()
 
     return plain.mapInArrow(work, schema)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.operators.components import connected_components
-from symlattice.staging import cut, sent
+from symlattice.staging import Scratch, cut, sent
 
 #: Shorter lines (after trimming) count as repeats only if they are equal: one edit makes them another line.
 MIN_CHARS = 20
@@ -225,7 +225,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [f"_c{i}" for i in range(len(docs.columns))]
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     plain = docs.toDF(*names)
-    gone = cut(repeated_lines(plain, key, text, edits, min_chars), "gone")
+    with Scratch(docs.sparkSession) as scratch:
+        gone = scratch.keep(cut(repeated_lines(plain, key, text, edits, min_chars), "gone"))
     gone = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "positions")
     wide = plain.withColumn("_t", F.xxhash64(text)).join(sent(gone), F.col("_t").eqNullSafe(F.col("_th")) & F.col(key).eqNullSafe(F.col("_id")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("positions"), i)), "\n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symlattice.llm.ranking import before, bucket_bits
 from symlattice.llm.text import uniform, words
-from symlattice.staging import cut
+from symlattice.staging import Scratch, cut, sent
 
 #: The weights that the sources get in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,11 +100,12 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c: names[docs.columns.index(c)] for c in (id_col, text_col, source_col)}
     plain = docs.toDF(*names)
-    plan = mix_documents(plain, at[id_col], at[text_col], at[source_col], seed, **how)
-    # rows that agree in id, source and text are one row here, with all their copies
-    plan = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("crc").alias("_x")).agg(F.sum("epochs").alias("_e"), F.count("*").alias("_n"))
-    plan = plan.where("_e > 0")
-    hit = plain.withColumn("_h", F.xxhash64(at[text_col])).join(plan, F.col(at[id_col]).eqNullSafe(F.col("_i")) & F.col(at[source_col]).eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_x")))
+    with Scratch(docs.sparkSession) as scratch:
+        plan = mix_documents(plain, at[id_col], at[text_col], at[source_col], seed, **how)
+        # rows that agree in id, source and text are one row here, with all their copies
+        plan = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("crc").alias("_x")).agg(F.sum("epochs").alias("_e"), F.count("*").alias("_n"))
+        plan = scratch.keep(cut(plan.where("_e > 0"), "plan"))
+    hit = plain.withColumn("_h", F.xxhash64(at[text_col])).join(sent(plan), F.col(at[id_col]).eqNullSafe(F.col("_i")) & F.col(at[source_col]).eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_x")))
     alike = hit.where("_n = 1")
     again = hit.where("_n > 1").dropDuplicates([at[id_col], at[source_col], "_h"])
     return alike.unionByName(again).select(*names, F.explode(F.sequence(F.lit(1), F.col("_e").cast("int")))).select(*names).toDF(*docs.columns)

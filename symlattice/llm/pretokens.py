@@ -9,6 +9,7 @@ only the distinct ones are looked up or encoded.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -64,10 +65,11 @@ class _Cache:
                     out[i] = now[chunks[i]] = ids
             unknown = [i for i, ids in zip(unknown, again, strict=True) if ids is None]
         if unknown:
-            for i, ids in zip(unknown, self.encode([self.lead + chunks[i] for i in unknown]), strict=True):
+            words = [chunks[i] for i in unknown]
+            found = self.encode([self.lead + w for w in words])
+            for i, ids in zip(unknown, found, strict=True):
                 out[i] = ids
-                if len(chunks[i]) < LONG:
-                    now[chunks[i]] = ids
+            now.update(zip(words, found, strict=True) if max(map(len, words)) < LONG else ((w, ids) for w, ids in zip(words, found, strict=True) if len(w) < LONG))
         return out
 
 
@@ -82,6 +84,16 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]
         at = to
 
 
+def give_back() -> None:
+    """Returns to the system what the allocators of this worker process hold without use: workers stay for
+    the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
 class ChunkEncoder:
     """Token ids of whole texts. encode gives the ids of each of a list of strings, as bytes of
     little-endian unsigned 32-bit numbers; `most` bounds the chunks remembered."""

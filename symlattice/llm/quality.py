@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.llm.text import words
-from symlattice.staging import cut, sent
+from symlattice.staging import Scratch, cut, sent
 
 #: Features are hashed to so many numbers.
 SIZE = 1 << 16
@@ -259,6 +259,7 @@ def accept(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, cutoff
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
-    seen = folded(plain.select(F.col(text).alias("text")), [])
-    bad = cut(score(seen, fit(seen, sample)).where(F.col("quality_score") < cutoff).select(F.col("h").alias("_h")).distinct(), "rejected")
+    with Scratch(docs.sparkSession) as scratch:
+        seen = folded(plain.select(F.col(text).alias("text")), [])
+        bad = scratch.keep(cut(score(seen, fit(seen, sample)).where(F.col("quality_score") < cutoff).select(F.col("h").alias("_h")).distinct(), "rejected"))
     return plain.join(sent(bad), F.xxhash64(text) == F.col("_h"), "left_anti").toDF(*docs.columns)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from symlattice.llm.text import ascii_lower, words
 from symlattice.operators.components import connected_components
-from symlattice.staging import cut
+from symlattice.staging import Scratch, cut, sent
 
 BITS = 64
 #: Values that are counted together; bounds a worker's memory at 64 bytes for each.
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 
 
 def shingle_hashes(text: Column, size: int = 3) -> tuple[Column, Column]:
@@ -31,12 +31,12 @@ def majority_bits(hashes: pa.Array) -> pa.Array:
     """One 64-bit number for each list: a bit is 1 if it is set in over half of the list's values; 0 for an empty list."""
     if isinstance(hashes, pa.ChunkedArray):
         hashes = hashes.combine_chunks()
-    values = hashes.flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False)
-    lengths = np.diff(hashes.offsets.to_numpy())
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    lengths = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = hashes.flatten(), np.cumsum(lengths)
     counts = np.zeros((len(lengths), BITS), np.int64)
-    for lo in range(0, len(values), CHUNK):
-        part, mine = values[lo : lo + CHUNK], owner[lo : lo + CHUNK]
+    for lo in range(0, len(flat), CHUNK):
+        part = flat.slice(lo, CHUNK).to_numpy(zero_copy_only=False).astype("<i8", copy=False)
+        mine = np.searchsorted(ends, np.arange(lo, lo + len(part)), "right")
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
         counts[mine[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
@@ -119,8 +119,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "roots")
     of_root = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = named.join(of_root, "root").select("fp", "component")
-    return own.join(of_fp, "fp").select("id", "fp", "component")
+    of_fp = cut(named.join(of_root, "root").select("fp", "component"), "named")
+    # rows of a common fingerprint are many: few numbers are sent to them, and a shuffle join of more is split by skew
+    return own.join(sent(of_fp), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
@@ -135,8 +136,9 @@ def keep_first(docs: DataFrame, grouped: Callable[[DataFrame, str, str], DataFra
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     plain = docs.toDF(*names).withColumn("_h", F.xxhash64(text))
     row = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("_h").alias("h"))
-    groups = grouped(plain.select(row.alias("_id"), F.col(text).alias("_t")), "_id", "_t")
-    won = cut(groups.groupBy("component").agg((F.sum((F.col("id") == F.col("component")).cast("long")) > 1).alias("again")).select(F.col("component.k").alias("_k"), F.col("component.h").alias("_w"), "again"), "won")
+    with Scratch(docs.sparkSession) as scratch:
+        groups = grouped(plain.select(row.alias("_id"), F.col(text).alias("_t")), "_id", "_t")
+        won = scratch.keep(cut(groups.groupBy("component").agg((F.sum((F.col("id") == F.col("component")).cast("long")) > 1).alias("again")).select(F.col("component.k").alias("_k"), F.col("component.h").alias("_w"), "again"), "won"))
     on = plain[key].eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_w"))
     single = plain.join(won.where("not again"), on, "left_semi")
     several = plain.join(won.where("again"), on, "left_semi").dropDuplicates([key, "_h"])

@@ -14,14 +14,16 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlattice.llm.eliasfano import EliasFano
-from symlattice.llm.pretokens import ChunkEncoder, slices
+from symlattice.llm.pretokens import ChunkEncoder, give_back, slices
 from symlattice.llm.ranking import before
 
 MAGIC, _HEAD = b"TKEF", struct.Struct("<4sB3xQQ")
@@ -68,14 +70,14 @@ def shared_encoder(path: str) -> tuple[ChunkEncoder, int]:
 
     def encode(texts: list[str]) -> list[bytes]:
         """All in one call where their tokens can be told apart by the bytes they stand for."""
-        if len(texts) > 1 and all(t[:1] == " " and not t[1:2].isspace() for t in texts):
-            ends = np.cumsum([len(t.encode()) for t in texts])
+        if len(texts) > 1 and texts[0][:1] == " " and texts[-1][:1] == " ":
+            ends = np.cumsum(pc.binary_length(pa.array(texts, pa.string())).to_numpy(), dtype=np.int64)
             ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
             covered = np.cumsum(width[ids])
             last = np.searchsorted(covered, ends)
             if len(ids) and last[-1] < len(ids) and (covered[last] == ends).all():
-                first = np.concatenate([[0], last[:-1] + 1])
-                return [ids[a : b + 1].tobytes() for a, b in zip(first, last, strict=True)]
+                data, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                return [data[a:b] for a, b in pairwise(cuts)]
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     return ChunkEncoder(encode), size
@@ -124,6 +126,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                     if held >= SEGMENT_IDS:
                         yield flush()
                         segment, names, sizes, parts, held = segment + 1, [], [], [], 0
+            give_back()
         if names:
             yield flush()
 

@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, linededup, mixing, quality, sharding, simhash, tokenstore, toxicity
+from symlattice.llm import bpe, linededup, mixing, pretokens, quality, sharding, simhash, tokenstore, toxicity
 from symlattice.llm.eliasfano import EliasFano
 from symlattice.llm.factorization import FactorizationMachine
 from symlattice.staging import cut, staged_path
@@ -192,7 +193,8 @@ def test_dedup_lines(spark, odd, empty):
     docs = spark.createDataFrame([(1, f"{long}\nshort\nunique to the first document", "s"), (2, f"short\n{near}\nunique to the second document", "s"), (2, f"short\n{near}\nunique to the second document", "s"), (3, long, "s"), (4, None, "s"), (5, "", "s")], DOCS)
     got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in linededup.dedup_lines(docs).collect()}
     assert got[1] == (f"{long}\nshort\nunique to the first document", [])
-    assert got[2] == ("short\nunique to the second document", [1]) and got[3] == ("", [0])
+    # short lines repeat when they are equal; longer ones also when they are one edit apart
+    assert got[2] == ("unique to the second document", [0, 1]) and got[3] == ("", [0])
     assert got[4] == (None, []) and got[5] == ("", [])
     assert linededup.dedup_lines(docs).count() == 6
     assert linededup.dedup_lines(odd).columns == [*odd.columns, "_removed_lines"]
@@ -201,6 +203,69 @@ def test_dedup_lines(spark, odd, empty):
         linededup.repeated_lines(docs, edits=10)
 
 
+def test_lines_that_repeat(spark):
+    """Short lines by equality alone, blank ones never, a crowd over many tasks."""
+    docs = spark.createDataFrame([(i, f"Read more\n\n  \nread mor{'eabc'[i % 4]}\nown line of document {i} {'x' * i}", "s") for i in range(12)], DOCS)
+    linededup.CROWD, most = 5, linededup.CROWD
+    try:
+        got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(docs).collect()}
+    finally:
+        linededup.CROWD = most
+    assert got == {i: ([3] if i == 0 else [] if i == -1 else [0] if i < 4 else [0, 3]) for i in range(12)}
+
+
+def test_long_lines_in_a_crowd(spark):
+    r = random.Random(2)
+    base = [r.choice("abcdefghij ") for _ in range(30_000)]
+    lines = ["".join(base)]
+    for at in (5, 14_999, 15_000, 29_998):
+        lines.append("".join(base[:at] + ["#"] + base[at + 1 :]))
+    lines += ["".join(base[:20_000] + base[20_001:]), "".join(base[:100] + ["##"] + base[100:])]
+    df = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(lines)], "node long, norm string, len int")
+    assert {(x["node"], x["root"]) for x in linededup.line_classes(df, 1, hot=1).collect()} == {(i, 0) for i in range(6)}
+
+
+def test_texts_longer_than_a_span(spark):
+    """Past 2**20 characters texts are worked on in parts; the ids are those of the whole."""
+    import tokenizers
+
+    r = random.Random(9)
+    words = ["word", "don't", "naïve", "x1,", "(so)", "字典", "\n", "two  blanks", "end."]
+    long = " ".join(r.choice(words) for _ in range(300_000))
+    solid = "ab" * 30_000
+    assert len(long) > pretokens.SPAN
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    chunks, _ = tokenstore.shared_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert chunks.cuts
+    texts = ["", " lead", "a", long, solid, "tail ", " ", "x"]
+    ids, counts = chunks.batch(pa.array(texts))
+    ends = np.cumsum(counts)
+    for t, a, n in zip(texts, ends - counts, counts, strict=True):
+        assert ids[a : a + n].tolist() == library.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, long), (2, " ".join(["shout"] * 400_000))], "doc_id long, text string")
+    assert [x["kept"] is not None for x in quality.classify(docs).collect()] == [True, True]
+    fps = {x["id"]: x["fp"] for x in simhash.fingerprints(docs).collect()}
+    shout = xxhash.xxh64_intdigest("shout shout shout".encode(), 42)
+    assert fps[2] % (1 << 64) == shout
+
+
+def test_encoders_that_cannot_be_cut():
+    whole = pretokens.ChunkEncoder(lambda texts: [np.array([len(t)], "<u4").tobytes() for t in texts])
+    assert not whole.cuts
+    ids, counts = whole.batch(pa.array(["a b", "", "abc d"]))
+    assert ids.tolist() == [3, 0, 5] and counts.tolist() == [1, 1, 1]
+    assert whole.ids("a bc").tolist() == [4]
+
+
+def test_fetch_tokens(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(50)], "doc_id long, text string")
+    tokenstore.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    all_ = {x["id"]: x["n_tokens"] for x in tokenstore.read_tokens(spark, path).collect()}
+    got = {x["id"]: x["ids"] for x in tokenstore.fetch_tokens(spark, path, spark.createDataFrame([(7,), (0,), (99,)], "id long")).collect()}
+    assert set(got) == {0, 7} and got[0] == [2] and len(got[7]) == all_[7] and got[7][-1] == 2
+
+
 def test_rank_queue():
     r, q, model = random.Random(3), bpe.RankQueue(70_000), []
     for _ in range(3000):
@@ -327,14 +392,63 @@ def test_quality(spark, odd, empty):
     assert quality.classify(empty).count() == 0 and quality.accept(empty).count() == 0
 
 
-def test_em_finds_the_better_labeller():
+def plain_em(votes, rounds):
+    """The same model, a document at a time."""
+    of = len(votes[0])
+    r = []
+    for v in votes:
+        bad = [i for i in range(of) if v[i] == 0]
+        r.append([0.05 if bad else 0.95] + [(0.95 / len(bad) if i in bad else 0.0) if bad else 0.05 / of for i in range(of)])
+    for _ in range(rounds):
+        share = [(sum(x[k] for x in r) + 1) / (len(votes) + of + 1) for k in range(of + 1)]
+
+        def rate(classes, j, prior):
+            cast = sum(x[k] for x, v in zip(r, votes, strict=True) if v[j] >= 0 for k in classes)
+            bad = sum(x[k] for x, v in zip(r, votes, strict=True) if v[j] == 0 for k in classes)
+            return (bad + prior[0]) / (cast + sum(prior))
+
+        rates = [[rate([0], j, quality.FALSE) for j in range(of)]]
+        rates += [[rate([k], j, quality.KNOWN) if j == k - 1 else rate([c for c in range(1, of + 1) if c != j + 1], j, quality.OTHER) for j in range(of)] for k in range(1, of + 1)]
+        r = []
+        for v in votes:
+            p = [share[k] * np.prod([rates[k][j] if v[j] == 0 else 1 - rates[k][j] for j in range(of) if v[j] >= 0]) for k in range(of + 1)]
+            r.append([x / sum(p) for x in p])
+    return np.array(r)
+
+
+def planted_votes(n=3000):
+    """Two kinds of junk, each seen by two labellers of four, and a fifth that objects at random."""
     r = np.random.default_rng(1)
-    y = r.random(4000) < 0.8
-    votes = np.stack([np.where(r.random(4000) < a, y, ~y).astype(int) for a in (0.98, 0.9, 0.7)], 1)
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    m = quality.expectation_maximisation(patterns, counts, least=0.1, most=9.0)
-    assert m.accuracy[0] > m.accuracy[2]
-    assert quality.expectation_maximisation(np.zeros((0, 3), int), np.zeros(0, int)).prior > 0
+    kind = r.choice(3, n, p=[0.85, 0.1, 0.05])
+    votes = np.ones((n, 5), int)
+    for j, (of, hit) in enumerate(((1, 0.95), (1, 0.8), (2, 0.95), (2, 0.8))):
+        votes[:, j] = np.where((kind == of) & (r.random(n) < hit), 0, np.where(r.random(n) < 0.01, 0, 1))
+    votes[:, 4] = np.where(r.random(n) < 0.2, 0, 1)
+    votes[r.random((n, 5)) < 0.1] = -1
+    return kind, votes
+
+
+def test_em_weighs_labellers_as_shipped():
+    kind, votes = planted_votes()
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    m = quality.expectation_maximisation(patterns, counts)
+    good = m.posterior(patterns)[where.ravel()] >= 0.5
+    any_bad = (votes == 0).any(1)
+    # what one can know from the votes, given the rates that planted_votes() used
+    rates = np.full((3, 5), 0.01)
+    rates[1, :2], rates[2, 2:4], rates[:, 4] = (0.95, 0.8), (0.95, 0.8), 0.2
+    z = np.log([0.85, 0.1, 0.05]) + (votes == 0) @ np.log(rates).T + (votes == 1) @ np.log1p(-rates).T
+    best = (np.exp(z[:, 0]) >= np.exp(z[:, 1:]).sum(1)) == (kind == 0)
+    assert (good == (kind == 0)).mean() > best.mean() - 0.01 and (~any_bad == (kind == 0)).mean() < 0.85
+    assert abs(m.bad[0, 4] - 0.2) < 0.04 and m.accuracy[4] < 0.85 < m.accuracy[:4].min()
+    assert quality.expectation_maximisation(np.zeros((0, 3), int), np.zeros(0, int)).share[0] > 0
+
+
+def test_em_equals_a_document_at_a_time():
+    _, votes = planted_votes(400)
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    m = quality.expectation_maximisation(patterns, counts, rounds=5, settled=0)
+    assert np.allclose(m.classes(patterns)[where.ravel()], plain_em(votes.tolist(), 5))
 
 
 def test_digest_columns(spark):
