@@ -13,8 +13,8 @@ from symlattice.operators.closure import backward, path, reach, tree
 from symlattice.schemas import EDGE_KIND, SYMBOL_KIND, kind_ids
 from symlattice.sources.facts import Catalog
 
-#: Steps that hierarchies are followed, at most.
-DEEP = 16
+#: Steps that hierarchies are followed, at most; None: all the way.
+DEEP = None
 
 
 class NoEdgesError(RuntimeError):
@@ -48,6 +48,10 @@ class Graph:
         rows = [(int(x),) for x in ([what] if isinstance(what, int) else what)]
         return self.spark.createDataFrame(rows, f"{name} long").distinct()
 
+    def only(self, df: DataFrame, what, column: str = "id") -> DataFrame:
+        """The rows of df for the symbols asked about; None: all."""
+        return df if what is None else df.join(self.ids(what, column), column, "left_semi")
+
     def files(self) -> DataFrame:
         """(file_id, path, component): absolute paths by component, folder and name."""
         f, d, c = self.c["file"], self.c["directory"], self.c["component"]
@@ -142,10 +146,10 @@ class Graph:
     def edges_in(self, what, kinds=None, limit: int = 500) -> DataFrame:
         return self.hops(what, "in", kinds, limit)
 
-    def references(self, what, limit: int = 500) -> DataFrame:
+    def references(self, what, limit: int | None = 500) -> DataFrame:
         return self.hops(what, "in", ["calls", "uses"], limit)
 
-    def neighbors(self, what, kinds=None, direction: str = "out", limit: int = 500) -> DataFrame:
+    def neighbors(self, what, kinds=None, direction: str = "out", limit: int | None = 500) -> DataFrame:
         return self.hops(what, direction, kinds, limit).select("id", "peer").distinct()
 
     def aliased_by(self, what) -> DataFrame:
@@ -294,7 +298,7 @@ class Graph:
 
     def possible_callees(self, what) -> DataFrame:
         """(id, definition): bodies that a call through a symbol's bodies may reach."""
-        d = self.c["definition"].select(F.col("id").alias("src_def_id"), F.col("symbol_id").alias("id")).join(self.ids(what), "id", "left_semi")
+        d = self.only(self.c["definition"].select(F.col("id").alias("src_def_id"), F.col("symbol_id").alias("id")), what)
         return d.join(self.c["possible_call"], "src_def_id").select("id", F.col("dst_def_id").alias("definition")).distinct()
 
     def of_definition(self, definitions, kind: str = "calls") -> DataFrame:
@@ -303,7 +307,7 @@ class Graph:
         return e.select(F.col("src_def_id").alias("definition"), F.col("dst_id").alias("peer")).distinct()
 
     def referencing_definitions(self, what) -> DataFrame:
-        e = self.c["def_edge"].where(F.col("kind").isin(EDGE_KIND["calls"], EDGE_KIND["uses"])).join(self.ids(what, "dst_id"), "dst_id", "left_semi")
+        e = self.only(self.c["def_edge"].where(F.col("kind").isin(EDGE_KIND["calls"], EDGE_KIND["uses"])), what, "dst_id")
         return e.select(F.col("dst_id").alias("id"), F.col("src_def_id").alias("definition")).distinct()
 
     # --- counts

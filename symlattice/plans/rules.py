@@ -11,6 +11,7 @@ must not depend on the rule's head.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,6 +204,10 @@ def _names(literals: list) -> set[str]:
     return {x.name for x in literals if isinstance(x, Atom)} | {n for x in literals if isinstance(x, Aggregate) for n in _names(x.body)}
 
 
+def _all_names(literals: list) -> list[str]:
+    return [x.name for x in literals if isinstance(x, Atom)] + [n for x in literals if isinstance(x, Aggregate) for n in _all_names(x.body)]
+
+
 class Program:
     """A parsed program. run() gives the derived relations, with the attributes that .decl names."""
 
@@ -211,6 +216,14 @@ class Program:
         self.rules, self.attributes, self.outputs = p.rules(), p.attributes, p.outputs
         self.heads = list(dict.fromkeys(r.head.name for r in self.rules))
 
+    def reads(self, wanted: list[str] | None = None) -> list[str]:
+        """The input relations that the wanted ones (all by default) need."""
+        need, more = set(), set(wanted or self.heads)
+        while more:
+            need |= more
+            more = {n for r in self.rules if r.head.name in more for n in _names(r.body)} - need
+        return sorted(need - set(self.heads))
+
     def strata(self) -> list[list[str]]:
         """Groups of mutually recursive relations, each after those it needs."""
         needs = {h: set() for h in self.heads}
@@ -238,12 +251,24 @@ class Program:
         return order
 
     def run(self, spark: SparkSession, relations: dict[str, DataFrame], only: list[str] | None = None, most_rounds: int = 10_000) -> dict[str, DataFrame]:
+        """The relations `only` (all that have rules), with what they need computed once; what they do not
+        need is not run. most_rounds bounds the rounds of a recursion; one that is not done by then is an error."""
         known = {k: v.toDF(*[f"c{i}" for i in range(len(v.columns))]) for k, v in relations.items()}
+        wanted = only or self.heads
+        need, more = set(), set(wanted)
+        while more:
+            need |= more
+            more = {n for r in self.rules if r.head.name in more for n in _names(r.body)} - need
+        uses = Counter(n for r in self.rules if r.head.name in need for n in _all_names(r.body))
         for group in self.strata():
+            if not need & set(group):
+                continue
             recursive = any(_names(r.body) & set(group) for r in self.rules if r.head.name in group)
             rules = [r for r in self.rules if r.head.name in group]
             if not recursive:
-                known[group[0]] = self._union(spark, [self._rule(spark, r, known) for r in rules])
+                made = self._union(spark, [self._rule(spark, r, known) for r in rules])
+                # what several rules read is computed once
+                known[group[0]] = cut(made, "relation") if uses[group[0]] > 1 else made
                 continue
             base = {h: [self._rule(spark, r, known) for r in rules if r.head.name == h and not _names(r.body) & set(group)] for h in group}
             width = {h: len(next(r for r in rules if r.head.name == h).head.args) for h in group}
@@ -269,9 +294,11 @@ class Program:
                     if old is not None and old is not delta.get(h):
                         drop_staged(old)
                 delta = new
+            else:
+                if any(not d.isEmpty() for d in delta.values()):
+                    raise RuleError(f"{', '.join(group)}: not done after {most_rounds} rounds")
             for h in group:
                 known[h] = full.get(h) if h in full else spark.createDataFrame([], ", ".join(f"c{i} string" for i in range(width[h])))
-        wanted = only or self.heads
         return {h: known[h].toDF(*self.attributes.get(h, known[h].columns)) for h in wanted}
 
     @staticmethod

@@ -2,41 +2,66 @@
 
 from __future__ import annotations
 
+import shlex
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from symlattice.schemas import TABLES
 
 
+@lru_cache(maxsize=None)
+def columns_of(name: str) -> StructType:
+    """A fact table's columns."""
+    return StructType.fromDDL(TABLES[name])
+
+
 class Catalog:
-    """The fact tables by name, as DataFrames; a table that was not given is empty."""
+    """The fact tables by name, as DataFrames; a table that was not given is empty. A table may be given
+    as a function without arguments: it is called when the table is first asked for."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
-        self.spark, self._tables = spark, {}
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None):
+        self.spark, self._tables, self._later = spark, {}, {}
         for name, df in (tables or {}).items():
-            self[name] = df
+            if callable(df):
+                self._later[name] = df
+            else:
+                self[name] = df
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self._later:
+            self[name] = self._later[name]()
         if name not in self._tables:
-            self._tables[name] = self.spark.createDataFrame([], TABLES[name])
+            self._tables[name] = self.spark.createDataFrame([], columns_of(name))
         return self._tables[name]
 
     def __setitem__(self, name: str, df: DataFrame) -> None:
         """Missing columns are null; others are dropped and all are cast to the table's types."""
-        wanted = self.spark.createDataFrame([], TABLES[name]).schema
         have = set(df.columns)
-        self._tables[name] = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+        self._later.pop(name, None)
+        self._tables[name] = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns_of(name)])
 
     def names(self) -> list[str]:
-        return sorted(self._tables)
+        return sorted({*self._tables, *self._later})
 
     def replaced(self, **tables: DataFrame) -> Catalog:
         out = Catalog(self.spark)
-        out._tables = dict(self._tables)
+        out._tables, out._later = dict(self._tables), dict(self._later)
         for k, v in tables.items():
             out[k] = v
         return out
 
+    def later(self, name: str, table: Callable[[], DataFrame]) -> Catalog:
+        """This catalog with a table that is made when it is first asked for."""
+        out = self.replaced()
+        out._tables.pop(name, None)
+        out._later[name] = table
+        return out
+
     @classmethod
     def read(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> Catalog:
         """Tables of a snapshot folder, a Parquet table each; edges come by kind if they were written so."""
@@ -94,24 +119,105 @@ def replace_file(table: DataFrame, rows: DataFrame, files: DataFrame, column: st
     return table.join(files.select(F.col("id").alias(column)).distinct(), column, "left_anti").select(table.columns).unionByName(rows.select(table.columns))
 
 
+#: What hangs on a symbol, by the columns that name it: rows go with any of them.
+OF_SYMBOL = {
+    "edge": ("src_id", "dst_id"), "decl_site": ("symbol_id",), "template_param": ("owner_id",), "template_arg": ("owner_id",), "definition": ("symbol_id",),
+    "def_edge": ("dst_id",), "entity_node": ("id",), "entity_edge": ("src_id", "dst_id"),
+}
+#: What hangs on a file besides its symbols.
+OF_FILE = {"definition": "file_id", "decl_site": "file_id", "diagnostic": "file_id", "edge_site": "file_id", "call_arg": "file_id"}
+
+
+def without(table: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """table without the rows whose column is among the ids gone; nulls stay."""
+    return table.join(gone.select(F.col("id").alias(column)).distinct(), column, "left_anti").select(table.columns)
+
+
+def delete_symbols(catalog: Catalog, symbols: DataFrame) -> Catalog:
+    """The catalog without some symbols (column id) and all that hangs on them, over any number of steps.
+    What only mentions one, a bound type or the member that an entity edge goes through, forgets it."""
+    gone, new = symbols.select("id").distinct(), {"symbol": without(catalog["symbol"], "id", symbols)}
+    for name, keys in OF_SYMBOL.items():
+        table = catalog[name]
+        for key in keys:
+            table = without(table, key, gone)
+        new[name] = table
+    edges = new["edge"].select(F.col("id").alias("edge_id"))
+    for name in ("edge_site", "call_arg"):
+        new[name] = catalog[name].join(edges, "edge_id", "left_semi").select(catalog[name].columns)
+    bodies = new["definition"].select("id")
+    new["def_edge"] = new["def_edge"].join(bodies.withColumnRenamed("id", "src_def_id"), "src_def_id", "left_semi").select(catalog["def_edge"].columns)
+    kept = catalog["possible_call"].join(bodies.withColumnRenamed("id", "src_def_id"), "src_def_id", "left_semi")
+    new["possible_call"] = kept.join(bodies.withColumnRenamed("id", "dst_def_id"), "dst_def_id", "left_semi").select(catalog["possible_call"].columns)
+
+    def forget(name: str, column: str) -> None:
+        known = gone.select(F.col("id").alias(column), F.lit(True).alias("_gone"))
+        t = new[name].join(known, column, "left")
+        new[name] = t.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(catalog[name].columns)
+
+    forget("template_arg", "ref_id")
+    forget("entity_edge", "via_member_id")
+    return catalog.replaced(**new)
+
+
 def delete_files(catalog: Catalog, files: DataFrame) -> Catalog:
-    """The catalog without some files and all that hangs on them: symbols, their edges, sites and definitions."""
+    """The catalog without some files (column id) and all that hangs on them: symbols with what hangs on
+    those, definitions, places and diagnostics. A symbol only declared there forgets the place."""
     gone = files.select("id").distinct()
-    symbols = catalog["symbol"].join(gone.withColumnRenamed("id", "file_id"), "file_id", "left_anti")
-    keep = symbols.select("id")
-    edges = catalog["edge"].join(keep.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(keep.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
-    sites = catalog["edge_site"].join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
-    args = catalog["call_arg"].join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
-    defs = catalog["definition"].join(gone.withColumnRenamed("id", "file_id"), "file_id", "left_anti").join(keep.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
-    body = catalog["def_edge"].join(defs.select(F.col("id").alias("src_def_id")), "src_def_id", "left_semi")
-    return catalog.replaced(file=catalog["file"].join(gone, "id", "left_anti"), symbol=symbols, edge=edges, edge_site=sites, call_arg=args, definition=defs, def_edge=body)
+    c = catalog.replaced(file=without(catalog["file"], "id", gone), **{name: without(catalog[name], column, gone) for name, column in OF_FILE.items()})
+    bodies = c["definition"].select(F.col("id").alias("src_def_id"))
+    c = c.replaced(def_edge=c["def_edge"].join(bodies, "src_def_id", "left_semi"))
+    declared = c["symbol"].join(gone.select(F.col("id").alias("decl_file_id"), F.lit(True).alias("_gone")), "decl_file_id", "left")
+    c = c.replaced(symbol=declared.withColumn("decl_file_id", F.when(F.col("_gone").isNull(), F.col("decl_file_id"))))
+    return delete_symbols(c, c["symbol"].join(gone.withColumnRenamed("id", "file_id"), "file_id", "left_semi"))
+
+
+def delete_directories(catalog: Catalog, directories: DataFrame) -> Catalog:
+    """The catalog without some directories (column id), their files, and all that hangs on them."""
+    files = catalog["file"].join(directories.select(F.col("id").alias("directory_id")).distinct(), "directory_id", "left_semi")
+    return delete_files(catalog.replaced(directory=without(catalog["directory"], "id", directories)), files.select("id"))
+
+
+def delete_components(catalog: Catalog, components: DataFrame) -> Catalog:
+    """The catalog without some components (column id), their directories, and all that hangs on them."""
+    held = catalog["directory"].join(components.select(F.col("id").alias("component_id")).distinct(), "component_id", "left_semi")
+    return delete_directories(catalog.replaced(component=without(catalog["component"], "id", components)), held.select("id"))
+
+
+LAUNCHERS = ("ccache", "sccache", "distcc", "icecc", "env", "nice", "time")
+
+
+def command_options(words: list[str]) -> list[str]:
+    """What follows the compiler in a command: environment assignments, launchers and their own options before it are passed over."""
+    at = 0
+    while at < len(words):
+        w = words[at]
+        name = w.rsplit("/", 1)[-1]
+        if name in LAUNCHERS or ("=" in w and not w.startswith("-") and "/" not in w.split("=", 1)[0]) or (at and w.startswith("-") and words[at - 1].rsplit("/", 1)[-1] in LAUNCHERS):
+            at += 1
+            continue
+        return words[at + 1 :]
+    return []
 
 
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
-    """(directory, file, options) of a compilation database in JSON, one row for each command."""
+    """(directory, file, options) of a compilation database in JSON, one row for each command. A command is
+    split as a shell would; unbalanced quotes leave it split at blanks. An `arguments` list is taken as it is."""
     raw = spark.read.option("multiLine", True).schema("directory string, file string, command string, arguments array<string>").json(path)
-    words = F.coalesce("arguments", F.split(F.trim("command"), "\\s+"))
-    return raw.select("directory", "file", F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("options"))
+
+    @F.pandas_udf("array<string>")
+    def options(commands: pd.Series, lists: pd.Series) -> pd.Series:
+        def of(command, words):
+            if words is None:
+                try:
+                    words = shlex.split(command or "")
+                except ValueError:
+                    words = (command or "").split()
+            return command_options(list(words))
+
+        return pd.Series([of(c, w) for c, w in zip(commands, lists, strict=True)])
+
+    return raw.select("directory", "file", options("command", "arguments").alias("options"))
 
 
 def component_of_path(paths: DataFrame, components: DataFrame, path_col: str = "path") -> DataFrame:
