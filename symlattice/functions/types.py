@@ -136,3 +136,101 @@ def classified(spellings: DataFrame, column: str) -> DataFrame:
         return pa.array(rows, pa.struct([("field_kind", pa.int32()), ("multiplicity", pa.int32()), ("core", pa.string()), ("returns", pa.string())]))
 
     return spellings.select(column).where(F.col(column).isNotNull()).distinct().select(column, told(F.col(column)).alias("t")).select(column, "t.*")
+
+
+def base_type(spelling: str) -> str:
+    """The bare name of a type: without qualifiers, pointers, references, scope and arguments."""
+    return without_arguments(core(spelling)).rpartition("::")[2]
+
+
+def top_level_const(spelling: str) -> bool:
+    """Whether a variable of this type is const itself, and not only what it points to."""
+    at = max(spelling.rfind("*"), spelling.rfind("&"))
+    return bool(re.search(r"\b(const|constexpr)\b", spelling[at + 1 :] if at >= 0 else spelling))
+
+
+def without_scope(text: str) -> str:
+    return re.sub(r"\w+::", "", text)
+
+
+def without_arguments(name: str) -> str:
+    """`app::Box` of `app::Box<int>`."""
+    return name.split("<", 1)[0] if name.endswith(">") else name
+
+
+def instance_name(name: str | None) -> tuple[str | None, list[str] | None]:
+    """(`app::Box`, [`int`, `char`]) of `app::Box<int, char>`; the arguments are None if there are none."""
+    if not name or not name.endswith(">") or "<" not in name:
+        return name, None
+    head, _, inner = name.partition("<")
+    return head, split_top(inner[:-1])
+
+
+def unqualified(name: str) -> str:
+    """The last part of a qualified name; scopes within arguments do not count."""
+    depth, at = 0, 0
+    for i, c in enumerate(name):
+        depth += (c in "<(") - (c in ">)")
+        if not depth and name[i : i + 2] == "::":
+            at = i + 2
+    return name[at:]
+
+
+def return_and_name(head: str) -> tuple[str | None, str]:
+    """(type, name) of what stands before a parameter list; blanks within arguments do not part them."""
+    depth, at = 0, -1
+    for i, c in enumerate(head.strip()):
+        depth += (c == "<") - (c == ">")
+        if not depth and c in " *&":
+            at = i
+    head = head.strip()
+    return (head[: at + 1].strip() or None, head[at + 1 :]) if at >= 0 else (None, head)
+
+
+class Signature:
+    """A constraint on a callable: a return type and parameter types; None says nothing."""
+
+    def __init__(self, ret: str | None = None, params: list[str] | None = None):
+        self.ret, self.params = ret, params
+
+    @classmethod
+    def from_parts(cls, ret: str | None = None, params: list[str] | None = None) -> Signature:
+        return cls(ret, None if params is None else list(params))
+
+    @classmethod
+    def parse_ret_params(cls, text: str) -> Signature:
+        """Of `ret(param, ...)`; without a type before the parenthesis any type will do."""
+        if "(" not in text:
+            raise ValueError(f"no parameter list: {text}")
+        return cls(*parse_signature(text))
+
+    @classmethod
+    def parse_full(cls, text: str) -> tuple[Signature, str]:
+        """(signature, name) of `ret name(param, ...)`."""
+        if "(" not in text:
+            raise ValueError(f"no parameter list: {text}")
+        head, params = parse_signature(text)
+        ret, name = return_and_name(head or "")
+        return cls(ret, params), name
+
+    def matches(self, type_info: str | None) -> bool:
+        """Whether a callable whose type is spelled so satisfies it."""
+        ret, params = parse_signature(type_info)
+        if self.ret is not None and not same_type(self.ret, ret or ""):
+            return False
+        return self.params is None or (params is not None and len(params) == len(self.params) and all(same_type(a, b) for a, b in zip(self.params, params, strict=True)))
+
+
+def matching(symbols: DataFrame, signature: Signature, column: str = "type_info") -> DataFrame:
+    """The symbols whose type satisfies a signature; distinct spellings are told once, on the executors."""
+    if signature.ret is None and signature.params is None:
+        return symbols
+    ret, params = signature.ret, signature.params
+
+    @F.arrow_udf("boolean")
+    def fits(texts: pa.Array) -> pa.Array:
+        want = Signature(ret, params)
+        return pa.array([want.matches(t) for t in texts.to_pylist()], pa.bool_())
+
+    ok = symbols.where(F.col(column).isNotNull()).select(column).distinct().where(fits(column))
+    return symbols.join(ok, column, "left_semi").select(symbols.columns)

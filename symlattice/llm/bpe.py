@@ -166,6 +166,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
             give_back()
+        codec.chunks.forget()
 
     return plain.mapInArrow(work, schema)
 

@@ -102,6 +102,12 @@ class ChunkEncoder:
         self.encode, self.cuts = encode, cuts_at_spaces(encode)
         self.after_space, self.plain = _Cache(encode, " ", most), _Cache(encode, "", most)
 
+    def forget(self) -> None:
+        """Gives up the older halves of the caches: between tasks a worker holds what it met last."""
+        for cache in (self.after_space, self.plain):
+            cache.now, cache.old = (cache.now if len(cache.now) <= cache.most // 4 else {}), {}
+        give_back()
+
     def ids(self, text: str) -> np.ndarray:
         """Unsigned 32-bit numbers; of a text without characters none."""
         if not self.cuts:

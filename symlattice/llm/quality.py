@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symlattice.llm.pretokens import give_back
 from symlattice.llm.text import words
 from symlattice.staging import Scratch, cut, sent
 
@@ -20,6 +21,8 @@ SAMPLE = 20_000
 #: Beta priors: votes of `bad` and others, for good texts, for the junk a labeller knows, and for other junk.
 FALSE, KNOWN, OTHER = (1.0, 49.0), (9.0, 1.0), (1.0, 4.0)
 
+#: Documents whose features a worker gets at a time.
+BATCH_ROWS = 2000
 #: Features of documents that are folded at a time.
 FOLD = 1 << 18
 
@@ -199,10 +202,12 @@ def folded(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
 
     @F.arrow_udf("struct<terms:array<int>,weights:array<float>>")
     def fold(lists: pa.Array) -> pa.Array:
-        return _fold(lists)
+        out = _fold(lists)
+        give_back()
+        return out
 
     plain = docs.select(*keep, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("h"))
-    return cut(measured(plain, "_text").select(*keep, "h", F.col("_votes").alias("votes"), fold("_features").alias("f")), "folded")
+    return cut(measured(plain, "_text").select(*keep, "h", F.col("_votes").alias("votes"), fold("_features").alias("f")), "folded", batch_rows=BATCH_ROWS)
 
 
 def fit(seen: DataFrame, sample: int = SAMPLE):

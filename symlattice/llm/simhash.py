@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symlattice.llm.pretokens import give_back
 from symlattice.llm.text import ascii_lower, words
 from symlattice.operators.components import connected_components
 from symlattice.staging import Scratch, cut, sent
@@ -49,7 +50,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf("long")
     def fold(h: pa.Array) -> pa.Array:
-        return majority_bits(h)
+        out = majority_bits(h)
+        give_back()
+        return out
 
     w, h = shingle_hashes(F.col("_text"), size)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
@@ -113,7 +116,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a fingerprint and so a component; a null id never names a component unless all its ids are null;
     an empty table gives an empty one. Other columns of docs are not read.
     """
-    own = cut(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    own = cut(fingerprints(docs, id_col, text_col, size), "fingerprints", batch_rows=2000)
     distinct = cut(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     root = connected_components(near_fingerprints(distinct.select("fp"), distance))
     named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -99,6 +99,111 @@ class EntityGraph:
         return EntityQuery(self, self._exact(name).join(inst, "id", "left_semi"))
 
 
+    def by_kind(self, kind: str) -> DataFrame:
+        return self.edges(kind)
+
+    def in_graph(self, what) -> DataFrame:
+        """(id): those of the symbols that are classified or an end of an edge."""
+        return self.g.ids(what).join(self.entities().select("id"), "id", "left_semi")
+
+    def own_methods(self, what, pure_only: bool = False) -> DataFrame:
+        """(id, method): a record's methods by the usr of their parent."""
+        s = self.c["symbol"]
+        m = s.where(F.col("kind") == SYMBOL_KIND["method"]).select(F.col("parent_usr").alias("usr"), F.col("id").alias("method"), "is_pure")
+        m = m.where("is_pure = 1") if pure_only else m
+        return self.g.only(s.select("id", "usr"), what).join(m, "usr").select("id", "method")
+
+    def entity(self, ident: int | str) -> EntityNode | None:
+        """The entity of an id or usr, if it is in the graph."""
+        key = F.col("usr") == ident if isinstance(ident, str) else F.col("id") == int(ident)
+        row = self.entities().where(key).first()
+        return None if row is None else EntityNode(self, row)
+
+    def __iter__(self):
+        return self.c["entity_edge"].orderBy("src_id", "kind", "dst_id").toLocalIterator()
+
+
+class EntityNode:
+    """One entity: the columns of its row as attributes, and steps from it as queries."""
+
+    def __init__(self, graph: EntityGraph, row):
+        self.graph, self.row = graph, row
+
+    def __getattr__(self, name: str):
+        if name in self.row:
+            return self.row[name]
+        raise AttributeError(name)
+
+    @property
+    def is_interface(self) -> bool:
+        return self.row["entity_kind"] in INTERFACES
+
+    @property
+    def is_abstract(self) -> bool:
+        return self.row["entity_kind"] in ABSTRACT
+
+    @property
+    def class_kind(self) -> str:
+        return "interface" if self.is_interface else "abstract" if self.is_abstract else "concrete"
+
+    @property
+    def location(self) -> str | None:
+        """path:line of its definition."""
+        at = self.graph.g.def_decl_locations(self.row["id"]).orderBy(F.desc("role")).first()
+        return None if at is None else f"{at['path']}:{at['line']}"
+
+    def sym(self) -> DataFrame:
+        return self.graph.g.get(self.row["id"])
+
+    def out_edges(self, kind: str | None = None) -> DataFrame:
+        return self.graph.edges(kind, src=self.row["id"])
+
+    def in_edges(self, kind: str | None = None) -> DataFrame:
+        return self.graph.edges(kind, dst=self.row["id"])
+
+    def query(self) -> EntityQuery:
+        return self.graph.query(self.row["id"])
+
+    def neighbors(self, kind: str | None = None, direction: str = "out") -> EntityQuery:
+        """Entities one edge away, of a kind or of any."""
+        out, in_ = self.out_edges(kind).select(F.col("dst_id").alias("id")), self.in_edges(kind).select(F.col("src_id").alias("id"))
+        return EntityQuery(self.graph, {"out": out, "in": in_, "both": out.unionByName(in_)}[direction])
+
+    def parts(self) -> DataFrame:
+        return self.out_edges("composes")
+
+    def uses(self) -> DataFrame:
+        return self.out_edges("uses")
+
+    def creates(self) -> DataFrame:
+        return self.out_edges("creates")
+
+    def friends(self) -> EntityQuery:
+        return self.neighbors("befriends")
+
+    def instances(self) -> EntityQuery:
+        """Specializations and instances of a template."""
+        return self.neighbors("instantiates", "in")
+
+    def primary_template(self) -> EntityNode | None:
+        return next((EntityNode(self.graph, r) for r in self.neighbors("instantiates").nodes().orderBy("id").take(1)), None)
+
+    def implemented_by(self, concrete: bool = False) -> EntityQuery:
+        """What generalizes to it or implements it directly."""
+        both = self.in_edges("generalizes").unionByName(self.in_edges("implements")).select(F.col("src_id").alias("id"))
+        q = EntityQuery(self.graph, both)
+        return q.concrete() if concrete else q
+
+    def operations(self) -> DataFrame:
+        return self.graph.own_methods(self.row["id"])
+
+    def walk(self, kind: str, direction: str = "out", max_depth: int | None = None) -> EntityQuery:
+        return self.query().relation(kind, direction, transitive=True, max_depth=max_depth)
+
+    def to_dict(self) -> dict:
+        return self.row.asDict()
+
+
 class EntityQuery:
     """A set of entity ids and the steps that follow; nothing runs before a terminal."""
 
@@ -148,6 +253,12 @@ class EntityQuery:
             raise ValueError(f"unknown kind among {kinds}")
         return self.where(F.col("entity_kind").isin(design) | F.col("symbol_kind").isin(raw))
 
+    def of_class_kind(self, kind: str) -> EntityQuery:
+        """Records that are concrete, abstract or an interface."""
+        hit = {"interface": F.col("entity_kind").isin(INTERFACES), "abstract": F.col("entity_kind").isin(ABSTRACT) & ~F.col("entity_kind").isin(INTERFACES)}
+        hit["concrete"] = ~F.col("entity_kind").isin([*ABSTRACT, ENTITY_KIND["namespace"]])
+        return self.where(hit[kind])
+
     def interfaces(self) -> EntityQuery:
         return self.where(F.col("entity_kind").isin(INTERFACES))
 
@@ -191,5 +302,11 @@ class EntityQuery:
     def __bool__(self) -> bool:
         return not self.ids.isEmpty()
 
+    def __len__(self) -> int:
+        return self.count()
+
+    def __iter__(self):
+        return self.nodes().orderBy("id").toLocalIterator()
+
     def to_dict(self) -> list[dict]:
         return [r.asDict() for r in self.nodes().orderBy("id").toLocalIterator()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symlattice.functions.names import kind_names
 from symlattice.operators.closure import backward, path, reach, tree
-from symlattice.schemas import EDGE_KIND, SYMBOL_KIND, kind_ids
+from symlattice.schemas import EDGE_KIND, ENTITY_KIND, SYMBOL_KIND, kind_ids
 from symlattice.sources.facts import Catalog
 
 #: Steps that hierarchies are followed, at most; None: all the way.
@@ -226,6 +226,15 @@ class Graph:
         """(node, depth, parent) of a bounded breadth-first walk."""
         return tree(self.pairs(kinds, direction), start, depth, max_nodes)
 
+    def path_to(self, start: int, end: int, kinds, direction: str = "out", depth: int = 3, max_nodes: int = 500) -> list[int]:
+        """The nodes from start to end by the parents of a bounded walk; empty if it does not get there. At most
+        max_nodes rows are read."""
+        parent = {r["node"]: r["parent"] for r in self.walk(start, kinds, direction, depth, max_nodes).collect()}
+        out = [end] if end in parent else []
+        while out and out[-1] != start:
+            out.append(parent[out[-1]])
+        return out[::-1]
+
     def reaches(self, src: int, dst: int, kinds=("calls",), direction: str = "out", max_depth: int = 8) -> list[int] | None:
         """A shortest way of at most max_depth edges, or None."""
         return path(self.pairs(kinds, direction), src, dst, max_depth)
@@ -310,6 +319,63 @@ class Graph:
         e = self.only(self.c["def_edge"].where(F.col("kind").isin(EDGE_KIND["calls"], EDGE_KIND["uses"])), what, "dst_id")
         return e.select(F.col("dst_id").alias("id"), F.col("src_def_id").alias("definition")).distinct()
 
+    def callees_of_definition(self, definitions) -> DataFrame:
+        """(definition, peer): what one body calls."""
+        return self.of_definition(definitions, "calls")
+
+    def uses_of_definition(self, definitions) -> DataFrame:
+        return self.of_definition(definitions, "uses")
+
+    # --- places and facts of single symbols
+
+    def def_decl_locations(self, what=None) -> DataFrame:
+        """(id, role, path, line, col): where a symbol is defined (or last seen) and where it is declared."""
+        paths = self.files().select("file_id", "path")
+        s = self.only(self.c["symbol"], what)
+        own = s.where("file_id is not null").select("id", F.lit("definition").alias("role"), "file_id", "line", "col").join(paths, "file_id", "left")
+        decl = s.where("decl_line is not null").select("id", F.lit("declaration").alias("role"), F.col("decl_file_id").alias("file_id"), F.col("decl_line").alias("line"), F.lit(None).cast("int").alias("col"), "decl_path")
+        decl = decl.join(paths, "file_id", "left").withColumn("path", F.coalesce("path", "decl_path"))
+        columns = ["id", "role", "path", "line", "col"]
+        return own.select(columns).unionByName(decl.select(columns))
+
+    def entity_nodes_ready(self) -> bool:
+        """Whether the design types have been derived."""
+        return not self.c["entity_node"].isEmpty()
+
+    def records_by_name(self, *names: str, design: tuple[str, ...] = ()) -> DataFrame:
+        """Records and templates by qualified name or spelling; design: of these design types only."""
+        kinds = [SYMBOL_KIND[k] for k in ("class", "struct", "union", "enum", "class-template")]
+        s = self.symbols().where(F.col("kind").isin(kinds) & (F.col("qual_name").isin(*names) | F.col("spelling").isin(*names)))
+        if design:
+            node = self.c["entity_node"].where(F.col("kind").isin(kind_ids(design, ENTITY_KIND))).select("id")
+            s = s.join(node, "id", "left_semi")
+        return s.orderBy(F.length("name"), "name", "id")
+
+    def is_virtual_method(self, what) -> DataFrame:
+        """(id, virtual) of the symbols asked about."""
+        v = self.virtual_methods().withColumn("virtual", F.lit(True))
+        return self.ids(what).join(v, "id", "left").select("id", F.coalesce("virtual", F.lit(False)).alias("virtual"))
+
+    def call_args_at(self, file_id: int, line: int, col: int) -> DataFrame:
+        """Where the arguments of the calls at one place come from, in order."""
+        a = self.c["call_arg"].where((F.col("file_id") == file_id) & (F.col("line") == line) & (F.col("col") == col))
+        return a.orderBy("edge_id", "position")
+
+    def receiver_provenance(self, edge_ids=None) -> DataFrame:
+        """(edge_id, file_id, line, col, src_kind, type_usr, decl_usr, callee_usr, type_is_value): where the object
+        comes from that a call is made on; calls without one have no row."""
+        a = self.c["call_arg"].where("position = -1")
+        return self.only(a, edge_ids, "edge_id").drop("position")
+
+    def virtual_call_sites(self, what=None) -> DataFrame:
+        """(caller, method, edge_id, file_id, line, col, src_kind, type_usr, decl_usr): every place at which the
+        symbols asked about (None: all) call a virtual method, with where the receiver comes from."""
+        e = self.only(self.edges(["calls"]).select(F.col("id").alias("edge_id"), F.col("src_id").alias("caller"), F.col("dst_id").alias("method")), what, "caller")
+        e = e.join(self.virtual_methods().withColumnRenamed("id", "method"), "method", "left_semi")
+        place = ["edge_id", "file_id", "line", "col"]
+        recv = self.receiver_provenance().select(*place, "src_kind", "type_usr", "decl_usr").dropDuplicates(place)
+        return self.c["edge_site"].select(place).join(e, "edge_id").join(recv, place, "left").select("caller", "method", *place, "src_kind", "type_usr", "decl_usr")
+
     # --- counts
 
     def stats(self) -> DataFrame:

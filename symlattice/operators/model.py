@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symlattice.functions.types import normal, parse_signature, same_type
+from symlattice.functions.types import Signature, matching, normal, parse_signature
 from symlattice.operators.closure import reach, tree
 from symlattice.operators.graph import Graph
+from symlattice.operators.resolve import entity_nodes
 from symlattice.schemas import CALLABLES, EDGE_KIND, ENTITY_KIND, RECORDS, SYMBOL_KIND
 
 
@@ -25,18 +27,7 @@ class CodeBase:
         return s.where((F.col("name") == name) | (F.col("spelling") == name) | F.col("name").endswith("::" + name))
 
     def _signed(self, s: DataFrame, ret: str | None, params: list[str] | None) -> DataFrame:
-        """Signatures are compared on the few distinct spellings of the named symbols."""
-        if ret is None and params is None:
-            return s
-
-        def fits(text: str | None) -> bool:
-            r, p = parse_signature(text)
-            if ret is not None and not same_type(ret, r or ""):
-                return False
-            return params is None or (p is not None and len(p) == len(params) and all(same_type(a, b) for a, b in zip(params, p, strict=True)))
-
-        ok = [r[0] for r in s.select("type_info").distinct().toLocalIterator() if fits(r[0])]
-        return s.where(F.col("type_info").isin(ok))
+        return matching(s, Signature(ret, params))
 
     @staticmethod
     def _split(name: str, sig: str | None) -> tuple[str, str | None, list[str] | None]:
@@ -80,6 +71,14 @@ class CodeBase:
     def abstract_class(self, name: str) -> DataFrame:
         return self.records(name, ("class", "struct"), ("abstract_class",))
 
+    def record(self, name: str) -> DataFrame:
+        """Any class, struct or union that is neither abstract nor an interface."""
+        return self.records(name)
+
+    def function_template(self, name: str, sig: str | None = None) -> DataFrame:
+        name, r, p = self._split(name, sig)
+        return self._signed(self._named(name, (SYMBOL_KIND["function-template"],)), r, p)
+
     def class_template(self, name: str) -> DataFrame:
         return self._named(name, (SYMBOL_KIND["class-template"],))
 
@@ -137,6 +136,168 @@ class CodeBase:
         left = up.join(pure, "base").select("id", "spelling").join(own, ["id", "spelling"], "left_anti").select("id")
         return pure.select(F.col("base").alias("id")).unionByName(left).distinct()
 
+    # --- namespaces
+
+    def namespace_functions(self, name: str, part: str | None = None) -> DataFrame:
+        """Free functions and function templates that a namespace declares directly."""
+        return self.namespace_members(name, ("function", "function-template"), part)
+
+    def namespace_function_templates(self, name: str, part: str | None = None) -> DataFrame:
+        return self.namespace_members(name, ("function-template",), part)
+
+    def namespace_classes(self, name: str, part: str | None = None) -> DataFrame:
+        """Plain records: no instances and no specializations."""
+        special = self.c["edge"].where(F.col("kind").isin(EDGE_KIND["specializes"], EDGE_KIND["instantiates"])).select(F.col("src_id").alias("id"))
+        plain = self.namespace_members(name, ("class", "struct", "union"), part).where("coalesce(is_instantiation, 0) = 0 and coalesce(is_named_instance, 0) = 0")
+        return plain.join(special, "id", "left_anti")
+
+    def namespace_class_templates(self, name: str, part: str | None = None) -> DataFrame:
+        return self.namespace_members(name, ("class-template",), part)
+
+    def namespace_aliases(self, name: str, part: str | None = None) -> DataFrame:
+        return self.namespace_members(name, ("typedef", "type-alias"), part)
+
+    def namespace_enums(self, name: str, part: str | None = None) -> DataFrame:
+        return self.namespace_members(name, ("enum",), part)
+
+    def namespace_variables(self, name: str, part: str | None = None) -> DataFrame:
+        return self.namespace_members(name, ("variable",), part)
+
+    def namespaces_in(self, name: str, part: str | None = None) -> DataFrame:
+        return self.namespace_members(name, ("namespace",), part)
+
+    # --- records; each gives (id, peer) unless it says otherwise
+
+    def _of_kinds(self, pairs: DataFrame, *kinds: str) -> DataFrame:
+        ok = self.c["symbol"].where(F.col("kind").isin([SYMBOL_KIND[k] for k in kinds])).select(F.col("id").alias("peer"))
+        return pairs.join(ok, "peer", "left_semi").select("id", "peer")
+
+    def fields(self, what) -> DataFrame:
+        """Data members."""
+        return self._of_kinds(self.g.members(what), "member")
+
+    def methods(self, what) -> DataFrame:
+        """Member functions, constructors, destructors and member function templates."""
+        return self._of_kinds(self.g.members(what), "method", "constructor", "destructor", "function-template")
+
+    def members(self, what, access: str | None = None) -> DataFrame:
+        return self.g.members(what, access)
+
+    def parents(self, what) -> DataFrame:
+        return self.g.bases(what)
+
+    def ancestors(self, what) -> DataFrame:
+        return self.g.bases(what, direct=False)
+
+    def derived(self, what, recursive: bool = False) -> DataFrame:
+        return self.g.subclasses(what, direct=not recursive)
+
+    def children(self, what) -> DataFrame:
+        """All that inherit from a record, over any steps."""
+        return self.g.subclasses(what, direct=False)
+
+    def class_kinds(self, what=None) -> DataFrame:
+        """(id, class_kind): concrete, abstract or interface, by a record's own members alone."""
+        names = {ENTITY_KIND[k]: v for k, v in (("abstract_class", "abstract"), ("abstract_class_template", "abstract"), ("interface", "interface"), ("interface_template", "interface"))}
+        told = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)]), F.col("kind")), F.lit("concrete"))
+        return self.g.only(entity_nodes(self.c).select("id", told.alias("class_kind")), what)
+
+    def is_interface(self, what=None) -> DataFrame:
+        return self.class_kinds(what).select("id", (F.col("class_kind") == "interface").alias("interface"))
+
+    def is_abstract(self, what=None) -> DataFrame:
+        """(id, abstract) of records: cannot be instantiated, for a pure method of its own or an inherited one that it leaves open."""
+        records = self.g.only(self.c["symbol"].where(F.col("kind").isin(*RECORDS)).select("id"), what)
+        yes = self.abstract_records().withColumn("abstract", F.lit(True))
+        return records.join(yes, "id", "left").select("id", F.coalesce("abstract", F.lit(False)).alias("abstract"))
+
+    # --- methods
+
+    def owner(self, what=None) -> DataFrame:
+        """The record that a method belongs to, by the usr of its parent."""
+        record = self.c["symbol"].where(F.col("kind").isin(*RECORDS, SYMBOL_KIND["class-template"])).groupBy(F.col("usr").alias("parent_usr")).agg(F.min("id").alias("peer"))
+        return self.g.only(self.c["symbol"].select("id", "parent_usr"), what).join(record, "parent_usr").select("id", "peer")
+
+    def access(self, what=None) -> DataFrame:
+        return self.g.only(self.c["symbol"].select("id", "access"), what)
+
+    def is_virtual(self, what) -> DataFrame:
+        return self.g.is_virtual_method(what)
+
+    # --- signatures
+
+    def signatures(self, what=None) -> DataFrame:
+        """(id, returns, arguments) of callables, from the spelling of their type."""
+        s = self.g.only(self.c["symbol"].where(F.col("kind").isin(*CALLABLES)).select("id", "type_info"), what)
+
+        @F.arrow_udf("struct<returns:string,arguments:array<string>>")
+        def told(texts: pa.Array) -> pa.Array:
+            rows = [dict(zip(("returns", "arguments"), parse_signature(t), strict=True)) for t in texts.to_pylist()]
+            return pa.array(rows, pa.struct([("returns", pa.string()), ("arguments", pa.list_(pa.string()))]))
+
+        kinds = s.select("type_info").distinct().select("type_info", told("type_info").alias("t")).select("type_info", "t.*")
+        return s.join(kinds, s["type_info"].eqNullSafe(kinds["type_info"])).select("id", "returns", "arguments")
+
+    # --- any symbol
+
+    def definition(self, what=None) -> DataFrame:
+        """(id, role, path, line, col) where it is defined."""
+        return self.g.def_decl_locations(what).where("role = 'definition'")
+
+    def declaration(self, what=None) -> DataFrame:
+        return self.g.def_decl_locations(what).where("role = 'declaration'")
+
+    def is_redefined(self, what=None) -> DataFrame:
+        return self.g.only(self.c["symbol"].select("id", (F.coalesce("multi_def", F.lit(0)) > 1).alias("redefined")), what)
+
+    def initializer(self, what=None) -> DataFrame:
+        """(id, init_text): the initializers of a symbol's definitions."""
+        d = self.c["definition"].where("init_text is not null").select(F.col("symbol_id").alias("id"), "init_text")
+        return self.g.only(d, what).distinct()
+
+    def uses(self, what) -> DataFrame:
+        return self.g.neighbors(what, ["uses"], limit=None)
+
+    def underlying_type(self, what=None) -> DataFrame:
+        """(id, underlying): what an alias stands for, as spelled."""
+        alias = self.c["symbol"].where(F.col("kind").isin(SYMBOL_KIND["typedef"], SYMBOL_KIND["type-alias"]))
+        return self.g.only(alias.select("id", F.col("type_info").alias("underlying")), what)
+
+    # --- templates
+
+    def parameters(self, what) -> DataFrame:
+        return self.g.template_params(what)
+
+    def specializations(self, what) -> DataFrame:
+        """(id, peer): explicit and partial specializations of a template."""
+        return self.g.neighbors(what, ["specializes"], "in", limit=None)
+
+    def instantiation_sites(self, what) -> DataFrame:
+        """(id, peer): functions that use a template by instantiating it."""
+        pairs = self.g.neighbors(what, ["instantiates"], "in", limit=None)
+        return self._of_kinds(pairs, "function", "method", "constructor", "destructor", "function-template")
+
+    def primary_template(self, what) -> DataFrame:
+        """(id, peer): the template that a specialization or instance comes from; the least id of several, specializations first."""
+        e = self.c["edge"].where(F.col("kind").isin(EDGE_KIND["specializes"], EDGE_KIND["instantiates"])).select(F.col("src_id").alias("id"), "kind", F.col("dst_id").alias("peer"))
+        return self.g.only(e, what).groupBy("id").agg(F.min(F.struct("kind", "peer"))["peer"].alias("peer"))
+
+    def template_arguments(self, what=None) -> DataFrame:
+        """(id, position, arg_kind, text, entity): the arguments in order: as text, and the symbol that each names, if any."""
+        a = self.g.only(self.c["template_arg"].withColumnRenamed("owner_id", "id"), what)
+        named = self.c["symbol"].select(F.col("id").alias("ref_id"), F.coalesce("qual_name", "spelling").alias("ref"))
+        return a.join(named, "ref_id", "left").select("id", "position", "arg_kind", F.coalesce("ref", "literal").alias("text"), F.col("ref_id").alias("entity"))
+
+    specialization_arguments = template_arguments
+
+    def specialized_types(self, what=None) -> DataFrame:
+        """(id, types): the arguments' texts in order."""
+        a = self.template_arguments(what).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("x"))
+        return a.select("id", F.transform("x", lambda t: t["text"]).alias("types"))
+
+    def specialized_type_entities(self, what=None) -> DataFrame:
+        return self.template_arguments(what).where("entity is not null").select("id", "position", F.col("entity").alias("peer"))
+
     # --- calls in the order of the source
 
     def ordered_callees(self, what=None) -> DataFrame:

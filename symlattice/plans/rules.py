@@ -340,11 +340,16 @@ class Program:
             pick = next((x for x in left if self._decidable(x[1], env)), None)
             if pick is None:
                 atoms = [x for x in left if isinstance(x[1], Atom) and not x[1].negated]
-                if not atoms:
-                    raise RuleError("a variable is bound by no atom")
-                share = [x for x in atoms if any(isinstance(a, Var) and a.name in env for a in x[1].args)]
-                changed = [x for x in atoms if x[0] in swap]
-                pick = (share or changed or atoms)[0]
+                if atoms:
+                    share = [x for x in atoms if any(isinstance(a, Var) and a.name in env for a in x[1].args)]
+                    changed = [x for x in atoms if x[0] in swap]
+                    pick = (share or changed or atoms)[0]
+                else:
+                    # a count of everything
+                    pick = next((x for x in left if isinstance(x[1], Aggregate) and not env), None)
+                    if pick is None:
+                        raise RuleError("a variable is bound by no atom")
+                    df = spark.range(1).select(F.lit(1).alias("_one"))
             left.remove(pick)
             df, env = self._add(spark, df, env, pick[1], known, swap.get(pick[0]))
         if df is None:

@@ -20,6 +20,7 @@ from symlattice.plans import programs
 from symlattice.plans.pattern import Engine
 from symlattice.plans.rules import Program
 from symlattice.schemas import ENTITY_EDGE_KIND, SYMBOL_KIND
+from symlattice import tree_queries
 from symlattice.sources.adapter import catalog, entry, expanded
 from symlattice.staging import cut
 
@@ -671,3 +672,6 @@ rule("all_paths", "path_node", "SELECT src.f AS node, x.signature AS full_signat
 rule("all_paths", "path_edge", "SELECT r.a AS caller, x.signature AS caller_signature, r.b AS callee, y.signature AS callee_signature FROM route r JOIN signed x ON x.name = r.a JOIN signed y ON y.name = r.b", f"{_ROUTE}, {_SIGNED}", _first_step, _second_step)
 rule("all_paths", "path_location", "SELECT DISTINCT p.caller, p.callee, p.file, p.line, p.conditional FROM places p JOIN route r ON r.a = p.caller AND r.b = p.callee", f"{_ROUTE}, {_PLACES}", _first_step, _second_step)
 rule("writeback", "impact_of_change", "SELECT changed, caller FROM hit", _IMPACT, _called)
+
+QUERIES |= tree_queries.QUERIES
+ORACLE_SQL |= tree_queries.ORACLE_SQL

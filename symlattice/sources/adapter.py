@@ -128,17 +128,21 @@ SQL = {
 }
 
 
-def expanded(name: str, sources: dict[str, str] | None = None) -> str:
+def expand(entries: dict[str, str], tables: tuple[str, ...], name: str, sources: dict[str, str] | None = None) -> str:
     """SQL of an entry over the star schema alone; sources: what stands for each of its tables."""
-    text = SQL[name]
-    for other in SQL:
+    text = entries[name]
+    for other in entries:
         if "{" + other + "}" in text:
-            text = text.replace("{" + other + "}", expanded(other, sources))
-    for t in SOURCES:
+            text = text.replace("{" + other + "}", expand(entries, tables, other, sources))
+    for t in tables:
         text = text.replace("{" + t + "}", (sources or {}).get(t, t))
     return text
 
 
+def expanded(name: str, sources: dict[str, str] | None = None) -> str:
+    return expand(SQL, SOURCES, name, sources)
+
+
 def entry(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in SOURCES}
     text = expanded(name, {t: "{" + t + "}" for t in SOURCES})

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,15 +87,30 @@ class Scratch:
             _remove(self.spark, p)
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back.
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None):
+    """Plans made within send Python workers at most so many rows at a time (None: as the session says)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None and (int(before) <= 0 or int(before) > rows):
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def cut(df: DataFrame, name: str = "stage", batch_rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back. batch_rows bounds what Python workers
+    get at a time where rows are long.
 
     Unlike localCheckpoint() the rows outlive the executors that made them, and unlike
     cache() no later loss makes Spark compute them again.
     """
     ship(df.sparkSession)
     path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
