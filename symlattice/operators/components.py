@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        new = cut(_small_star(_large_star(cur)), "edges")
+        # a round never makes more rows than two for each node, and a star has one for each
+        new = cut(_small_star(_large_star(cur)), "edges", rows=2 * mark[0])
         now = _mark(new)
         drop_staged(cur)
         cur = new

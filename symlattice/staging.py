@@ -100,15 +100,21 @@ def batches_of(spark: SparkSession, rows: int | None):
         spark.conf.set(key, before)
 
 
-def cut(df: DataFrame, name: str = "stage", batch_rows: int | None = None) -> DataFrame:
+#: Rows of a file, where a bound on the rows of a table is known.
+FILE_ROWS = 50_000
+
+
+def cut(df: DataFrame, name: str = "stage", batch_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back. batch_rows bounds what Python workers
-    get at a time where rows are long.
+    get at a time where rows are long; rows is a bound on df's rows that is known, so that a small table
+    is few files and not one for each shuffle partition.
 
     Unlike localCheckpoint() the rows outlive the executors that made them, and unlike
     cache() no later loss makes Spark compute them again.
     """
     ship(df.sparkSession)
     path = staged_path(df.sparkSession, name)
+    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
     with batches_of(df.sparkSession, batch_rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
