@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,17 +255,39 @@ def cross_component_edges(c: Catalog) -> DataFrame:
 def resolve(c: Catalog) -> Catalog:
     """The catalog with counts, numbers of definitions, possible and dispatch calls, and the entity graph.
 
-    Running it again changes nothing: derived edges are made anew. Derived tables are written once to
-    the shared folder, so that the queries that follow do not derive them again. meta says when it ran.
+    Running it again changes nothing: derived edges are made anew. Each derived table is made when it is
+    first asked for and written once to the shared folder, so that the queries that follow neither
+    derive it again nor wait for tables that they do not read. meta says when it ran.
     """
-    c = c.replaced(edge=c["edge"].where(F.col("kind") != EDGE_KIND["dispatch_calls"]))
-    c = c.replaced(edge=cut(edge_counts(c), "edge"), symbol=cut(multi_def(c), "symbol"))
-    c = c.replaced(possible_call=cut(possible_calls(c), "possible_call"))
-    c = c.replaced(edge=cut(c["edge"].unionByName(dispatch_calls(c), allowMissingColumns=True), "edge"))
-    p = _Pass(c)
+    plain = c.replaced(edge=c["edge"].where(F.col("kind") != EDGE_KIND["dispatch_calls"]))
     now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     meta = c["meta"].where("key <> 'graph_resolved_at'").unionByName(c.spark.createDataFrame([("graph_resolved_at", now)], "key string, value string"))
-    return c.replaced(entity_node=p.nodes, entity_edge=cut(entity_edges(c, p), "entity_edge"), meta=meta)
+    out = plain.replaced(meta=meta)
+
+    @cache
+    def symbol() -> DataFrame:
+        return cut(multi_def(plain), "symbol")
+
+    @cache
+    def edge() -> DataFrame:
+        counted = cut(edge_counts(plain), "edge")
+        return cut(counted.unionByName(dispatch_calls(plain.replaced(edge=counted)), allowMissingColumns=True), "edge")
+
+    @cache
+    def design() -> _Pass:
+        return _Pass(plain.replaced(edge=edge(), symbol=symbol()))
+
+    @cache
+    def entity_edge() -> DataFrame:
+        return cut(entity_edges(design().c, design()), "entity_edge")
+
+    @cache
+    def possible_call() -> DataFrame:
+        return cut(possible_calls(plain.replaced(symbol=symbol())), "possible_call")
+
+    for name, table in {"symbol": symbol, "edge": edge, "possible_call": possible_call, "entity_node": lambda: design().nodes, "entity_edge": entity_edge}.items():
+        out = out.later(name, table)
+    return out
 
 
 def summary(c: Catalog) -> dict[str, int]:
