@@ -143,6 +143,73 @@ def test_mixing_prefers_heavy_rows(spark):
     assert abs(len(got) - 600) <= 1 and heavy > 1.8 * (len(got) - heavy)
 
 
+def spark_uniform(seed, *values):
+    """text.uniform() by hand: XXH64 chained over the columns, nulls left out, with the first 53 bits."""
+    h = seed_hash(seed)
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+    return ((h >> 11) + 0.5) / 2**53
+
+
+def seed_hash(seed):
+    return xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), 42)
+
+
+def test_sharding_by_hand(spark):
+    """Shuffled ranks within each source, sorted by fractional rank, cut evenly: every shard and slot."""
+    r = random.Random(4)
+    rows = [(i, "x" * r.randrange(9), r.choice(["a", "b", None, "a"])) for i in range(257)]
+    plan = sharding.shard_documents(spark.createDataFrame(rows, DOCS), 7)
+    crc = {i: zlib.crc32(t.encode()) for i, t, _ in rows}
+    u = {i: spark_uniform(17, i, crc[i], len(t) + 16) for i, t, _ in rows}
+    order = []
+    for source in ("a", "b", None):
+        mine = sorted((i for i, _, s in rows if s == source), key=lambda i: (u[i], i, crc[i]))
+        order += [((2 * k + 1) / (2 * len(mine)), source is None, source or "", u[i], i) for k, i in enumerate(mine)]
+    want, count = {}, [0] * 7
+    for rank, (*_, i) in enumerate(sorted(order)):
+        shard = rank * 7 // len(rows)
+        want[i] = (shard, count[shard])
+        count[shard] += 1
+    assert {x["doc_id"]: (x["shard"], x["slot"]) for x in plan.collect()} == want
+
+
+def test_mixing_by_hand(spark):
+    """Whole epochs, then rows in order of their exponential keys while they fit, then the words left over."""
+    r = random.Random(6)
+    rows = [(i, "s" + str(min(i % 7, 3)), r.choice([1, 4, 9, 60]), r.choice([0.25, 0.7, 1.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")
+    got = {x["doc_id"]: x["taken"] for x in mixing.mix(df, "source", "size", "weight", ["doc_id"], per_bucket=1).collect()}
+    size = {s: sum(x[2] for x in rows if x[1] == s) for s in {x[1] for x in rows}}
+    want = mixing.targets(list(size.items()))
+    for s in size:
+        mine = sorted((-math.log(spark_uniform(23, i)) / w, i, n) for i, src, n, w in rows if src == s)
+        left, epochs, took = want[s] % size[s], int(want[s] // size[s]), set()
+        for k in range(3):
+            past = 0
+            start = left
+            for _, i, n in mine:
+                if i in took or (k and n > start):
+                    continue
+                if past + (n if k < 2 else n / 2) <= start:
+                    took.add(i)
+                    left -= n
+                past += n
+            if left < 1:
+                break
+        assert {i: got[i] for _, i, _ in mine} == {i: n * (epochs + (i in took)) for _, i, n in mine}
+
+
+def test_margins_of_pairs_by_hand():
+    r = np.random.default_rng(3)
+    fm = FactorizationMachine(30, 4)
+    fm.bias, fm.linear, fm.pairs = 0.3, r.normal(size=30), r.normal(size=(30, 4))
+    sets = [[], [4], [1, 2], [7, 8, 9, 20, 29], list(range(30))]
+    want = [fm.bias + sum(fm.linear[i] for i in s) + sum(fm.pairs[i] @ fm.pairs[j] for n, i in enumerate(s) for j in s[:n]) for s in sets]
+    assert np.allclose(fm.margins(np.array(sum(sets, []), np.int64), np.array([len(s) for s in sets])), want)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
