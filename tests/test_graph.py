@@ -248,3 +248,34 @@ def test_merge_symbols(spark):
     got = {r["usr"]: r for r in cut(merge_symbols(empty, new)).collect()}
     assert got["u"]["file_id"] == 1 and got["u"]["qual_name"] == "n::f" and got["u"]["is_pure"] == 1 and got["u"]["is_definition"] == 1
     assert len({got["u"]["id"], got["w"]["id"]}) == 2
+
+
+def test_a_recursion_that_is_not_done_is_an_error(spark):
+    edge = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    p = Program(".decl far(a, b)\nfar(a, b) :- step(a, b).\nfar(a, c) :- far(a, b), step(b, c).\n")
+    assert p.run(spark, {"step": edge})["far"].count() == 36
+    with pytest.raises(RuleError):
+        p.run(spark, {"step": edge}, most_rounds=2)
+
+
+def test_only_what_is_wanted_runs(spark):
+    p = Program("a(x) :- in(x).\nb(x) :- missing(x).\nc(n) :- n = count : { in(_) }.\n")
+    got = p.run(spark, {"in": spark.createDataFrame([(1,), (2,)], "x long")}, ["a", "c"])
+    assert sorted(r[0] for r in got["a"].collect()) == [1, 2] and got["c"].first()[0] == 2 and p.reads(["a"]) == ["in"]
+
+
+def test_programs_on_the_seeded_graph(spark):
+    from symlattice.plans import programs
+
+    c = R.resolve(catalog(spark))
+    one = lambda x: spark.createDataFrame([(x,)], "name string")
+    got = programs.run("callgraph", c, seeds=one("main()"))
+    assert {tuple(r) for r in got["call_edge"].collect()} == {("main()", "helper()"), ("helper()", "compute()"), ("helper()", "ext_fn()")}
+    assert got["recursive"].count() == 0 and {r["line"] for r in got["call_location"].where("caller = 'helper()'").collect()} == {7, 8, 0}
+    up = programs.run("hierarchy", c, seeds=one("Derived2"))
+    assert {r["base"] for r in up["ancestor"].collect()} == {"Derived", "Base"}
+    hit = programs.run("impact", c, seeds=one("compute()"))
+    assert {r["caller"] for r in hit["impacts"].collect()} == {"helper()", "main()"} and hit["blast_radius"].first()["callers"] == 2
+    way = programs.run("all_paths", c, ["path_node", "path_exists"], seeds=one("main()"), targets=one("compute()"))
+    assert {r["node"] for r in way["path_node"].collect()} == {"main()", "helper()", "compute()"} and way["path_exists"].count() == 1
+    assert programs.run("callgraph", c, ["reachable"])["reachable"].count() == 0
