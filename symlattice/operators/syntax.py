@@ -139,3 +139,50 @@ class Trees:
 
     def influences(self) -> DataFrame:
         return reach(self.value_flow()).select("a", "b")
+
+    # --- whole programs
+
+    def callee_names(self) -> DataFrame:
+        """(tu, key, spelling, callees): each function with the sorted names of what it calls."""
+        names = self.node.select(F.col("key").alias("callee"), F.col("spelling").alias("name"))
+        called = self.calls().join(names, "callee").groupBy(F.col("caller").alias("key")).agg(F.sort_array(F.collect_set("name")).alias("callees"))
+        return self.functions().join(called, "key", "left").select("tu", "key", "spelling", F.coalesce("callees", F.array().cast("array<string>")).alias("callees"))
+
+    def symbol_table(self) -> DataFrame:
+        """(usr, name, units, definitions, references): symbols of all units by usr, with how often each is defined and referred to."""
+        s = self.node.join(self.symbol.select("tu", F.col("id").alias("symbol_id"), "usr", "name"), ["tu", "symbol_id"])
+        n = self.rel("references").groupBy(F.col("b").alias("key")).agg(F.count("*").alias("n"))
+        return s.join(n, "key", "left").groupBy("usr").agg(F.min("name").alias("name"), F.countDistinct("tu").alias("units"), F.sum("is_definition").alias("definitions"), F.coalesce(F.sum("n"), F.lit(0)).alias("references"))
+
+    def references_to(self, usr: str) -> DataFrame:
+        """(tu, path, line): where a symbol is referred to, in whatever unit."""
+        target = self.node.join(self.symbol.where(F.col("usr") == usr).select("tu", F.col("id").alias("symbol_id")), ["tu", "symbol_id"], "left_semi").select(F.col("key").alias("b"))
+        site = self.rel("references").join(target, "b", "left_semi").select(F.col("a").alias("key"))
+        paths = self.file.select("tu", F.col("id").alias("file_id"), "path")
+        return self.node.join(site, "key", "left_semi").join(paths, ["tu", "file_id"], "left").select("tu", "path", "line")
+
+    def naming_problems(self, pattern: str = "^[a-z_][a-z0-9_]*$") -> DataFrame:
+        """(tu, key, spelling, problem): functions whose name does not fit a pattern, parameters of one letter."""
+        bad = self.functions().where(~F.col("spelling").rlike(pattern) & F.col("kind_id").isin(FUNCTION, METHOD)).withColumn("problem", F.lit("name"))
+        short = self.main_nodes().where((F.col("kind_id") == PARAM) & (F.length("spelling") == 1)).withColumn("problem", F.lit("one letter"))
+        return bad.unionByName(short).select("tu", "key", "spelling", "problem")
+
+    def top_level(self) -> DataFrame:
+        """Declarations of main files that lie in no other node, in the order of the source."""
+        inner = self.rel("child").select(F.col("b").alias("key"))
+        return self.main_nodes().where(f"kind_id < {TYPES_FROM}").join(inner, "key", "left_anti").orderBy("tu", "line", "key")
+
+    def nesting(self) -> DataFrame:
+        """(key, spelling, depth): how deep branches and loops of main functions lie in each other."""
+        kinds = (IF, SWITCH, WHILE, DO, FOR)
+        site = self.node.where(F.col("kind_id").isin(*kinds)).select(F.col("key").alias("b"))
+        inside = reach(self.rel("child"), site).select("a", "b").join(site, "b", "left_semi")
+        outer = inside.groupBy("b").agg(F.count("*").alias("n"))
+        deep = self.inside().join(site, "b", "left_semi").join(outer, "b", "left").groupBy(F.col("a").alias("key")).agg(F.max(1 + F.coalesce("n", F.lit(0))).alias("depth"))
+        return self.functions().join(deep, "key", "left").select("key", "spelling", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+    def shared_headers(self, share: float = 0.5) -> DataFrame:
+        """(path, units, share): files that at least this share of all units read, most shared first."""
+        total = self.file.select("tu").distinct().count()
+        n = self.file.where("is_main = 0").groupBy("path").agg(F.countDistinct("tu").alias("units"))
+        return n.withColumn("share", F.col("units") / F.lit(max(total, 1))).where(F.col("share") >= share).orderBy(F.desc("units"), "path")

@@ -228,3 +228,17 @@ def component_of_path(paths: DataFrame, components: DataFrame, path_col: str = "
     roots = paths.select(path_col).distinct().select(path_col, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_root"))
     best = roots.join(c, "_root").groupBy(path_col).agg(F.max_by("component_id", F.length("_root")).alias("component_id"))
     return paths.join(best, path_col, "left")
+
+
+def candidate_aliases(catalog: Catalog) -> DataFrame:
+    """(file_id, usr): aliases that nothing says what they stand for: without a use of another symbol."""
+    s = catalog["symbol"].where("kind in (20, 36) and file_id is not null and usr <> ''")
+    used = catalog["edge"].where("kind = 7").select(F.col("src_id").alias("id"))
+    return s.join(used, "id", "left_anti").select("file_id", "usr")
+
+
+def option_uniformity(files: DataFrame, column: str = "options") -> DataFrame:
+    """(flag, files, share): how many of the files are compiled with each flag, rarest last."""
+    total = files.count()
+    each = files.select(F.explode(F.array_distinct(column)).alias("flag")).groupBy("flag").agg(F.count("*").alias("files"))
+    return each.withColumn("share", F.col("files") / F.lit(max(total, 1))).orderBy(F.desc("files"), "flag")
