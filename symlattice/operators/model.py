@@ -277,7 +277,7 @@ class CodeBase:
         pairs = self.g.neighbors(what, ["instantiates"], "in", limit=None)
         return self._of_kinds(pairs, "function", "method", "constructor", "destructor", "function-template")
 
-    def primary_template(self, what) -> DataFrame:
+    def primary_template(self, what=None) -> DataFrame:
         """(id, peer): the template that a specialization or instance comes from; the least id of several, specializations first."""
         e = self.c["edge"].where(F.col("kind").isin(EDGE_KIND["specializes"], EDGE_KIND["instantiates"])).select(F.col("src_id").alias("id"), "kind", F.col("dst_id").alias("peer"))
         return self.g.only(e, what).groupBy("id").agg(F.min(F.struct("kind", "peer"))["peer"].alias("peer"))
@@ -378,5 +378,20 @@ class CodeBase:
         some = F.max(F.coalesce(fits, F.lit(True)).cast("int")).over(place)
         return sites.select("edge_id", "file_id", "line", "col", "caller", "method", "receiver", "target", ((some == 0) | F.coalesce(fits, F.lit(True))).alias("kept"))
 
+    def devirtualized_edges(self) -> DataFrame:
+        """(a, b): calls as they can happen: of plain functions as they stand, and of virtual methods those
+        targets that the receivers' types leave at one of the call's places. Calls without a place keep all targets."""
+        e = self.c["edge"].where(F.col("kind") == EDGE_KIND["calls"]).select(F.col("id").alias("edge_id"), F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
+        virtual = self.g.virtual_methods().withColumnRenamed("id", "b")
+        plain = e.join(virtual, "b", "left_anti").select("a", "b")
+        placed = self.virtual_sites().where("kept").select(F.col("caller").alias("a"), F.col("target").alias("b"))
+        lost = e.join(virtual, "b", "left_semi").join(self.c["edge_site"].select("edge_id"), "edge_id", "left_anti")
+        all_ = lost.join(self.g.dispatch_targets(lost.select("b")).withColumnRenamed("id", "b"), "b").select("a", F.col("target").alias("b"))
+        return plain.unionByName(placed).unionByName(all_).distinct()
+
+    def devirtualized_callgraph(self, root: int, depth: int | None = None) -> DataFrame:
+        """(node, depth, parent): callgraph() without the targets that the receivers' types rule out."""
+        return tree(self.devirtualized_edges(), root, depth)
+
     def callables(self) -> DataFrame:
         return self.g.symbols().where(F.col("kind").isin(*CALLABLES))

@@ -22,6 +22,7 @@ from symlattice.plans.rules import Program
 from symlattice.schemas import ENTITY_EDGE_KIND, SYMBOL_KIND
 from symlattice import tree_queries
 from symlattice.sources.adapter import catalog, entry, expanded
+from symlattice.sources.store import Store
 from symlattice.staging import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -673,5 +674,133 @@ rule("all_paths", "path_edge", "SELECT r.a AS caller, x.signature AS caller_sign
 rule("all_paths", "path_location", "SELECT DISTINCT p.caller, p.callee, p.file, p.line, p.conditional FROM places p JOIN route r ON r.a = p.caller AND r.b = p.callee", f"{_ROUTE}, {_PLACES}", _first_step, _second_step)
 rule("writeback", "impact_of_change", "SELECT changed, caller FROM hit", _IMPACT, _called)
 
+
+# --- the typed view
+
+
+def code(spark: SparkSession, sf_dir: str) -> CodeBase:
+    return CodeBase(graph(spark, sf_dir))
+
+
+def _records(m: CodeBase) -> DataFrame:
+    return m.c["symbol"].where("kind in (4, 31)").select("id")
+
+
+@query("SELECT DISTINCT dst_id AS id, src_id AS peer FROM edge WHERE kind = 8", ("edge",))
+def record_fields(spark, sf_dir):
+    m = code(spark, sf_dir)
+    return m.fields(_records(m))
+
+
+@query("SELECT DISTINCT dst_id AS id, src_id AS peer FROM edge WHERE kind = 9", ("edge",))
+def record_methods(spark, sf_dir):
+    m = code(spark, sf_dir)
+    return m.methods(_records(m))
+
+
+@query("SELECT s.id, min(o.id) AS peer FROM symbol s JOIN symbol o ON o.usr = s.parent_usr AND o.kind IN (4, 31) GROUP BY s.id", ("symbol",))
+def method_owner(spark, sf_dir):
+    return code(spark, sf_dir).owner()
+
+
+@query("SELECT b AS id, a AS peer FROM r", ("edge",), True, _SUB)
+def record_children(spark, sf_dir):
+    m = code(spark, sf_dir)
+    return m.children(_records(m))
+
+
+@query("SELECT id, CASE kind WHEN 3 THEN 'interface' WHEN 8 THEN 'interface' WHEN 2 THEN 'abstract' WHEN 7 THEN 'abstract' ELSE 'concrete' END AS class_kind FROM nodes", ("symbol",), False, _NODES)
+def class_kinds(spark, sf_dir):
+    return code(spark, sf_dir).class_kinds()
+
+
+@query("SELECT src_id AS id, dst_id AS peer FROM edge WHERE kind IN (4, 5)", ("edge",))
+def primary_template(spark, sf_dir):
+    return code(spark, sf_dir).primary_template()
+
+
+@query("SELECT a.owner_id AS id, a.position, a.arg_kind, coalesce(s.qual_name, a.literal) AS text, a.ref_id AS entity FROM template_arg a LEFT JOIN symbol s ON s.id = a.ref_id", ("symbol", "template_arg"))
+def template_arguments(spark, sf_dir):
+    return code(spark, sf_dir).template_arguments()
+
+
+@query("SELECT id, split_part(type_info, ' (', 1) AS returns FROM symbol WHERE kind IN (8, 21)", ("symbol",))
+def signatures(spark, sf_dir):
+    return code(spark, sf_dir).signatures().select("id", "returns")
+
+
+@query("SELECT s.id FROM symbol s WHERE s.kind = 4 AND s.qual_name LIKE 'ASIA::%'", ("symbol",))
+def namespace_classes(spark, sf_dir):
+    return code(spark, sf_dir).namespace_classes("ASIA").select("id")
+
+
+@query("SELECT s.id, coalesce(b.n, 0) > 1 AS redefined FROM symbol s LEFT JOIN bodies b ON b.symbol_id = s.id", ("symbol", "definition"), False, _BODIES)
+def redefined_symbols(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    return CodeBase(Graph(c.replaced(symbol=R.multi_def(c)))).is_redefined()
+
+
+_PATHS = "paths AS (SELECT f.id, '/src/lib' || (f.id % 5) || '/' || d.path || '/' || f.name AS path FROM file f JOIN directory d ON d.id = f.directory_id)"
+
+
+@query("SELECT s.id, 'definition' AS role, p.path, s.line FROM symbol s LEFT JOIN paths p ON p.id = s.file_id WHERE s.file_id IS NOT NULL", ("symbol", "file", "directory"), False, _PATHS)
+def symbol_locations(spark, sf_dir):
+    return graph(spark, sf_dir).def_decl_locations().select("id", "role", "path", "line")
+
+
+@query("SELECT s.a AS caller, s.b AS method, s.line, s.col, x.src_kind, x.type_usr, x.decl_usr FROM site s JOIN (SELECT DISTINCT a, b, line, col, src_kind, type_usr, decl_usr FROM receiver) x ON x.a = s.a AND x.b = s.b AND x.line = s.line AND x.col = s.col WHERE s.b IN (SELECT id FROM symbol WHERE is_pure = 1 UNION SELECT src_id FROM edge WHERE kind = 6 UNION SELECT dst_id FROM edge WHERE kind = 6)", ("symbol", "edge", "site", "receiver"))
+def virtual_call_sites(spark, sf_dir):
+    """Every place at which a virtual method is called, with where its receiver comes from."""
+    return graph(spark, sf_dir).virtual_call_sites().select("caller", "method", "line", "col", "src_kind", "type_usr", "decl_usr")
+
+
+@query("SELECT file_id, line, col, src_kind, type_usr, decl_usr FROM receiver", ("receiver",))
+def receiver_provenance(spark, sf_dir):
+    return graph(spark, sf_dir).receiver_provenance().select("file_id", "line", "col", "src_kind", "type_usr", "decl_usr")
+
+
+# --- the store
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    return Store(catalog(spark, sf_dir))
+
+
+@query("SELECT id, path AS abs_path FROM paths", ("file", "directory"), False, _PATHS)
+def store_files(spark, sf_dir):
+    return store(spark, sf_dir).files().select("id", "abs_path")
+
+
+@query("SELECT p.id, p.path AS abs_path FROM paths p JOIN file f ON f.id = p.id JOIN directory d ON d.id = f.directory_id WHERE d.component_id = 2 AND d.path LIKE 'brand#%'", ("file", "directory"), False, _PATHS)
+def store_component_files(spark, sf_dir):
+    return store(spark, sf_dir).list_files(component_id=2, name="brand").select("id", "abs_path")
+
+
+@query("SELECT id, qual_name FROM symbol WHERE lower(qual_name) LIKE '%r%e%d%w%g%'", ("symbol",))
+def store_search(spark, sf_dir):
+    return store(spark, sf_dir).search_symbols("redwg").select("id", "qual_name")
+
+
+@query("SELECT id, usr FROM symbol WHERE resolved = 0", ("symbol",))
+def store_unresolved(spark, sf_dir):
+    return store(spark, sf_dir).unresolved_symbols().select("id", "usr")
+
+
+@query("SELECT e.src_id, e.dst_id, e.kind FROM edge e WHERE e.src_id NOT IN (SELECT id FROM symbol WHERE file_id = 3) AND e.dst_id NOT IN (SELECT id FROM symbol WHERE file_id = 3)", ("symbol", "edge"))
+def store_delete_file(spark, sf_dir):
+    """The edges that are left when a file goes with its symbols."""
+    s = store(spark, sf_dir)
+    s.delete_file(3)
+    return s.c["edge"].select("src_id", "dst_id", "kind")
+
+
+@query("SELECT src_id, dst_id, kind, count + (CASE WHEN kind = 2 THEN 2 ELSE 0 END) AS count FROM edge", ("edge",))
+def store_merge_edges(spark, sf_dir):
+    """Edges after those of inheritance arrived twice more: counts add up by key."""
+    s = store(spark, sf_dir)
+    s.add_edges(s.c["edge"].where("kind = 2").withColumn("count", F.lit(2)).drop("id"))
+    return s.c["edge"].select("src_id", "dst_id", "kind", "count")
+
+
 QUERIES |= tree_queries.QUERIES
 ORACLE_SQL |= tree_queries.ORACLE_SQL

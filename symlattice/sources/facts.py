@@ -48,6 +48,10 @@ class Catalog:
     def names(self) -> list[str]:
         return sorted({*self._tables, *self._later})
 
+    def made(self) -> list[str]:
+        """The tables that have been asked for or set."""
+        return sorted(self._tables)
+
     def replaced(self, **tables: DataFrame) -> Catalog:
         out = Catalog(self.spark)
         out._tables, out._later = dict(self._tables), dict(self._later)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -55,8 +56,10 @@ class Store:
         self.commit()
 
     def commit(self) -> None:
+        """Each changed table is written once, when it is next asked for."""
         if self._depth == 0 and self._changed:
-            self.c = self.c.replaced(**{name: cut(self.c[name], name) for name in sorted(self._changed)})
+            for name in sorted(self._changed):
+                self.c = self.c.later(name, cache(partial(cut, self.c[name], name)))
             self._changed = set()
 
     def _replace(self, **tables: DataFrame) -> None:
@@ -65,7 +68,7 @@ class Store:
         self.commit()
 
     def _become(self, catalog: Catalog) -> None:
-        self.c, self._changed = catalog, self._changed | set(catalog.names())
+        self.c, self._changed = catalog, self._changed | set(catalog.made())
         self.commit()
 
     def _where(self, name: str, /, **equal) -> DataFrame:
