@@ -143,8 +143,8 @@ def tree(edges: DataFrame, start: int, most: int | None = None, most_nodes: int
     return out
 
 
-def path(edges: DataFrame, start: int, target: int, most: int = 8) -> list[int] | None:
-    """A shortest walk from start to target, as nodes; None if there is none of `most` steps or fewer."""
+def path(edges: DataFrame, start: int, target: int, most: int | None = 8) -> list[int] | None:
+    """A shortest walk from start to target, as nodes; None if there is none of `most` steps or fewer (None: of any number)."""
     if start == target:
         return [start]
     t = cut(tree(edges, start, most, target=target), "tree")

@@ -92,7 +92,7 @@ class Graph:
         """The symbol of an id or a usr."""
         return self.symbols().where(F.col("usr") == ident if isinstance(ident, str) else F.col("id") == int(ident))
 
-    def find(self, pattern: str, kind: str | None = None, limit: int = 50) -> DataFrame:
+    def find(self, pattern: str, kind: str | None = None, limit: int | None = 50) -> DataFrame:
         """Symbols by name, best tier only: equal (spelling or qualified name), beginning with the pattern,
         or holding its ::-separated parts in order; the latter two whatever the case of A to Z.
         Shortest names first."""
@@ -101,7 +101,7 @@ class Graph:
             s = s.where(F.col("kind").isin(kind_ids([kind], SYMBOL_KIND)))
         order = [F.length("name"), "name", "id"]
         if not pattern:
-            return s.orderBy(*order).limit(limit)
+            return self._first(s.orderBy(*order), limit)
         low = ascii_fold(F.col("name"))
         text = pattern.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
         parts = "%" + "%".join(escape_like(p) for p in text.split("::") if p) + "%"
@@ -110,7 +110,11 @@ class Graph:
         tier = F.when(F.coalesce(equal, F.lit(False)), 1).when(F.coalesce(head, F.lit(False)), 2).when(F.coalesce(low.like(parts), F.lit(False)), 3)
         told = s.withColumn("tier", tier).where("tier is not null")
         best = told.agg(F.min("tier").alias("best"))
-        return told.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best").orderBy(*order).limit(limit)
+        return self._first(told.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best").orderBy(*order), limit)
+
+    @staticmethod
+    def _first(df: DataFrame, limit: int | None) -> DataFrame:
+        return df if limit is None else df.limit(limit)
 
     def by_name(self, spelling: str, kind: str | None = None) -> DataFrame:
         s = self.symbols().where(F.col("spelling") == spelling)

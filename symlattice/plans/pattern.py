@@ -244,10 +244,12 @@ def parse(text: str):
 
 class Engine:
     """Runs queries over a resolved catalog. limit bounds the candidates of a kind (shortest names
-    first), before any condition; None takes all."""
+    first), before any condition; None takes all. As the language has it, a name in a closure stands
+    for its 20 best matches, an end of a path for 10, and a path has 64 steps at most; `named`, `ends`
+    and `steps` say otherwise, None without a bound."""
 
-    def __init__(self, graph: Graph, limit: int | None = None, compat: bool = False):
-        self.g, self.limit, self.compat = graph, limit, compat
+    def __init__(self, graph: Graph, limit: int | None = None, compat: bool = False, named: int | None = 20, ends: int | None = 10, steps: int | None = 64):
+        self.g, self.limit, self.compat, self.named, self.ends, self.steps = graph, limit, compat, named, ends, steps
         self.calls = graph.pairs(["calls", "dispatch_calls"]).distinct()
         self.down = graph.pairs(["inherits"], "in").distinct()
 
@@ -311,7 +313,7 @@ class Engine:
                 return out.withColumn(name, F.coalesce(name, F.col(f"{c.left}.id") == F.col(f"{c.right}.id"))).drop("_a", "_b")
             return df.join(p, hit, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_a", "_b")
         var, text = (c.left, c.right) if c.left_var else (c.right, c.left)
-        seeds = self._named(text) if c.op.startswith("calls") else self.g.find(text, limit=20).select("id")
+        seeds = self._named(text) if c.op.startswith("calls") else self.g.find(text, limit=self.named).select("id")
         p = self._pairs(c.op, seeds, not c.left_var)
         ids = p.select((F.col("a") if c.left_var else F.col("b")).alias("_a")).distinct().withColumn(name, F.lit(True))
         return df.join(ids, F.col(f"{var}.id") == F.col("_a"), "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_a")
@@ -410,7 +412,7 @@ class Engine:
     def path(self, q: Path) -> DataFrame:
         """(step, id, name) of a shortest way between the first of ten candidates each that are connected."""
         edges = self.calls if q.via == "calls" else self.down
-        first, last = ([r["id"] for r in self.g.find(t, limit=10).collect()] for t in (q.start, q.end))
-        way = next((w for a in first for b in last if (w := path(edges, a, b, 64))), [])
+        first, last = ([r["id"] for r in self.g.find(t, limit=self.ends).collect()] for t in (q.start, q.end))
+        way = next((w for a in first for b in last if (w := path(edges, a, b, self.steps))), [])
         steps = self.g.spark.createDataFrame(list(enumerate(way)), "step long, id long")
         return steps.join(self.g.symbols().select("id", "name"), "id").select("step", "id", "name").orderBy("step")
