@@ -18,6 +18,8 @@ from symlattice.staging import cut
 SHARD_ROWS = 16384
 #: Queries without and with a link that an audit compares with all vectors of a shard.
 AUDIT = (192, 64)
+#: Times that a search is widened after a failed audit.
+WIDENED = 1
 #: Queries that are verified at a time.
 PART = 512
 
@@ -41,27 +43,32 @@ def _exact(x: np.ndarray, queries: np.ndarray, least: float) -> Iterator[np.ndar
         yield queries[lo : lo + PART] @ x.T >= least
 
 
-def links_between(graph: LayeredGraph, x: np.ndarray, queries: np.ndarray, least: float, width: int, slack: float, seed: int = 3) -> np.ndarray:
+def links_between(graph: LayeredGraph, x: np.ndarray, queries: np.ndarray, least: float, width: int, slack: float, same: bool = False, seed: int = 3) -> np.ndarray:
     """Which of the vectors x each query has a cosine of `least` or more with, as rows of packed bits. All are
-    unit vectors in double precision.
+    unit vectors in double precision; same: the queries are x, and each has itself.
 
     An audit compares some queries, most of them without a link, with all points: while it misses a
-    link, width and slack are doubled and all queries are searched again; once the beam is as wide as
-    the shard, every query is compared with every point instead.
+    link, width and slack are doubled and all queries are searched again. WIDENED times at most: a beam
+    that is wider still costs more than what comes then, every query compared with every point.
     """
-    r = np.random.default_rng(seed)
+    r, widest = np.random.default_rng(seed), width << WIDENED
     while True:
-        found = _pairs(graph, x, queries, least, width, slack) if width < len(x) else _exact(x, queries, least)
+        last = width >= min(len(x), widest + 1)
+        found = _exact(x, queries, least) if last else _pairs(graph, x, queries, least, width, slack)
         bits = np.concatenate([np.packbits(m, axis=1, bitorder="little") for m in found]) if len(queries) else np.zeros((0, (len(x) + 7) // 8), np.uint8)
-        if width >= len(x):
+        if last:
             return bits
+        if same:
+            own = np.arange(len(x))
+            bits[own, own >> 3] |= (1 << (own & 7)).astype(np.uint8)
         got = np.bitwise_count(bits).sum(1, dtype=np.int64)
-        tried = np.concatenate([r.permutation(group)[:most] for group, most in zip((np.flatnonzero(got == 0), np.flatnonzero(got)), AUDIT, strict=True)])
+        lone = got == int(same)
+        tried = np.concatenate([r.permutation(group)[:most] for group, most in zip((np.flatnonzero(lone), np.flatnonzero(~lone)), AUDIT, strict=True)])
         # a cosine within rounding of the threshold may fall on either side of another order of sums
         true = np.concatenate([m.sum(1) for m in _exact(x, queries[tried], least + 1e-12)]) if len(tried) else tried
         if (got[tried] >= true).all():
             return bits
-        width, slack = min(2 * width, len(x)), 2 * slack
+        width, slack = 2 * width, 2 * slack
 
 
 def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,7 +80,7 @@ def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def both_ways(gx: LayeredGraph, x: np.ndarray, gy: LayeredGraph | None, y: np.ndarray, least: float, width: int, slack: float, weight_x: np.ndarray, weight_y: np.ndarray):
     """(links of each x, links of each y, groups over x and then y): a link counts for both its ends,
     whichever of the two searches found it. gy None: y is x itself, and no vector links with itself."""
-    of_y = links_between(gx, x, y, least, width, slack)  # rows are y
+    of_y = links_between(gx, x, y, least, width, slack, gy is None)  # rows are y
     n_x, n_y, label = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.arange(len(x) + len(y))
     of_x = of_y if gy is None else links_between(gy, y, x, least, width, slack)
     for lo in range(0, len(x), PART):
