@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from symlattice.llm import neardup, simhash
@@ -41,6 +42,43 @@ def test_components_are_those_of_all_pairs(spark, hot):
     assert sorted((x["id"], x["component"]) for x in got) == list(enumerate(label))
 
 
+def majority(values):
+    return sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in values) > len(values))
+
+
+def test_simhash_finds_links_and_the_prefix_join_the_rest(spark, monkeypatch):
+    """Pairs within the radius are links by SimHash; with prefixes that find nothing, just those are left."""
+    import corpus_pipeline
+
+    texts = planted(5)
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    sets = [shingles(t) for t in texts]
+    hashed = {s: h & (1 << 64) - 1 for s, h in spark.createDataFrame([(s,) for s in set().union(*sets)], "s string").selectExpr("s", "xxhash64(s)").collect()}
+    fps = [majority([hashed[s] for s in x]) for x in sets]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    near = [(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= neardup.DISTANCE]
+    assert any(sets[i] != sets[j] for i, j in near) and len(near) < len(pairs)
+
+    def components(links):
+        label = list(range(len(texts)))
+        for _ in texts:
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    assert components(near) != components(pairs)
+    first = neardup.first_values
+
+    def without_prefixes(*args):
+        sig, n, bits, pre, fp = first(*args).flatten()
+        return pa.StructArray.from_arrays([sig, n, bits, pa.array([[]] * len(pre), pre.type), fp], ["sig", "n", "bits", "pre", "fp"])
+
+    assert sorted(x["doc_id"] for x in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == sorted(set(components(pairs)))
+    monkeypatch.setattr(neardup, "first_values", without_prefixes)
+    got = neardup.jaccard_groups(df, hot=64).collect()
+    assert [x["component"] for x in sorted(got, key=lambda x: x["id"])] == components(near)
+
+
 def test_pipeline_drops_planted_near_copies(spark):
     import corpus_pipeline
 
