@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -68,10 +69,11 @@ class Codec:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.queue = RankQueue(len(self.vocabulary))
+        self.of_two = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         # Rust's \s is the property White_Space; Python's has the four separators 1C to 1F besides
         self.matches = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
         self.pieces, self.most = dict[str, list[int]](), max(1, most // 4)
-        self.chunks = ChunkEncoder(lambda texts: [np.array(self.encode_chunk(t), "<u4").tobytes() for t in texts], most)
+        self.chunks = ChunkEncoder(lambda texts: [array("I", self.encode_chunk(t)).tobytes() for t in texts], most)
 
     @classmethod
     def from_file(cls, path: str, pattern: str, most: int = MOST) -> Codec:
@@ -85,32 +87,60 @@ class Codec:
         ranks, queue = self.ranks, self.queue
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, push, get, longest = len(piece), queue.push, ranks.get, self.longest
+        n, get, longest, of_two = len(piece), ranks.get, self.longest, self.of_two
         # a token begins at i and ends before end[i]; pair[i] is the rank of it and the next one, or -1
         end, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [get(piece[i : i + 2], -1) for i in range(n)]
-        pair[n - 1] = -1
+        pair = [of_two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        pair.append(-1)
+        # push and pop of the queue, which is empty before and after, without their calls
+        buckets, words, top = queue.buckets, queue.words, queue.top
         for i, rank in enumerate(pair):
             if rank >= 0:
-                push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions ascend: the bucket stays a heap
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> 8] |= BIT[rank & 255]
+                    top |= 1 << (rank >> 8)
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            rank = at << 8 | ((word & -word).bit_length() - 1)
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                word &= word - 1
+                words[at] = word
+                if not word:
+                    top &= top - 1
             if pair[i] != rank:  # stale: a neighbour was merged meanwhile
                 continue
-            j = end[i]
+            h, j = before[i], end[i]
             pair[j] = -1
             j = end[i] = end[j]
             before[j] = i
             rank = get(piece[i : end[j]], -1) if j < n and end[j] - i <= longest else -1
             pair[i] = rank
             if rank >= 0:
-                push(rank, i)
-            h = before[i]
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> 8] |= BIT[rank & 255]
+                    top |= 1 << (rank >> 8)
             if h >= 0:
                 rank = get(piece[h:j], -1) if j - h <= longest else -1
                 pair[h] = rank
                 if rank >= 0:
-                    push(rank, h)
+                    if rank in buckets:
+                        heappush(buckets[rank], h)
+                    else:
+                        buckets[rank] = [h]
+                        words[rank >> 8] |= BIT[rank & 255]
+                        top |= 1 << (rank >> 8)
         out, i = [], 0
         while i < n:
             j = end[i]

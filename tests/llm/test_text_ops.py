@@ -371,6 +371,34 @@ def test_bpe_like_the_library(library):
         assert codec.decode(ids) == t.encode()
 
 
+def test_bpe_merges_without_a_call_for_each_step():
+    """Merges of a long piece cost no Python call each, also with more ranks than the bitmap's words have bits of one level."""
+    import sys
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab" * k: 69_000 + k for k in range(1, 40)} | {b"b" * k: 70_000 - k for k in range(2, 9)}
+    codec = bpe.Codec(ranks, "(?s).+")
+    r, calls = random.Random(2), []
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            found = min(((ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks), default=None)
+            if not found:
+                return [ranks[x] for x in parts]
+            parts[found[1] : found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
+
+    for _ in range(200):
+        piece = bytes(r.choice(b"abb") for _ in range(r.randint(1, 60)))
+        assert codec.merge(piece) == plain(piece)
+        assert codec.queue.top == 0 and not codec.queue.buckets and not any(codec.queue.words)
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        codec.merge(b"ab" * 500)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 10
+
+
 def test_encode_decode(spark, odd, empty, library):
     run = lambda d: bpe.encode_decode(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     got = sorted((repr(r["id"]), list(r["ids"]), bytes(r["decoded"])) for r in run(odd).collect())
