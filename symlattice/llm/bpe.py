@@ -94,14 +94,22 @@ class Codec:
         pair.append(-1)
         # push and pop of the queue, which is empty before and after, without their calls
         buckets, words, top = queue.buckets, queue.words, queue.top
+        # a pair whose neighbour goes first is not pushed before that neighbour changes
+        waits, last = [False] * (n + 1), -1
         for i, rank in enumerate(pair):
-            if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(i)  # positions ascend: the bucket stays a heap
-                else:
-                    buckets[rank] = [i]
-                    words[rank >> 8] |= BIT[rank & 255]
-                    top |= 1 << (rank >> 8)
+            if rank < 0:
+                last = -1
+                continue
+            after = pair[i + 1]
+            if 0 <= last <= rank or 0 <= after < rank:
+                waits[i] = True
+            elif rank in buckets:
+                buckets[rank].append(i)  # positions ascend: the bucket stays a heap
+            else:
+                buckets[rank] = [i]
+                words[rank >> 8] |= BIT[rank & 255]
+                top |= 1 << (rank >> 8)
+            last = rank
         while top:
             at = (top & -top).bit_length() - 1
             word = words[at]
@@ -122,25 +130,31 @@ class Codec:
             pair[j] = -1
             j = end[i] = end[j]
             before[j] = i
-            rank = get(piece[i : end[j]], -1) if j < n and end[j] - i <= longest else -1
-            pair[i] = rank
+            changed = []
+            waits[i] = False
+            pair[i] = rank = get(piece[i : end[j]], -1) if j < n and end[j] - i <= longest else -1
             if rank >= 0:
+                changed.append(i)
+            if h >= 0:
+                waits[h] = False
+                pair[h] = rank = get(piece[h:j], -1) if j - h <= longest else -1
+                if rank >= 0:
+                    changed.append(h)
+                h = before[h]
+                if h >= 0 and waits[h]:
+                    waits[h] = False
+                    changed.append(h)
+            if waits[j]:
+                waits[j] = False
+                changed.append(j)
+            for i in changed:
+                rank = pair[i]
                 if rank in buckets:
                     heappush(buckets[rank], i)
                 else:
                     buckets[rank] = [i]
                     words[rank >> 8] |= BIT[rank & 255]
                     top |= 1 << (rank >> 8)
-            if h >= 0:
-                rank = get(piece[h:j], -1) if j - h <= longest else -1
-                pair[h] = rank
-                if rank >= 0:
-                    if rank in buckets:
-                        heappush(buckets[rank], h)
-                    else:
-                        buckets[rank] = [h]
-                        words[rank >> 8] |= BIT[rank & 255]
-                        top |= 1 << (rank >> 8)
         out, i = [], 0
         while i < n:
             j = end[i]
