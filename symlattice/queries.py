@@ -21,7 +21,7 @@ from symlattice.plans.pattern import Engine
 from symlattice.plans.rules import Program
 from symlattice.schemas import ENTITY_EDGE_KIND, SYMBOL_KIND
 from symlattice import tree_queries
-from symlattice.sources.adapter import catalog, entry, expanded
+from symlattice.sources.adapter import catalog, entry, expanded, sharing
 from symlattice.sources.store import Store
 from symlattice.staging import cut
 
@@ -51,7 +51,8 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entry(spark, sf_dir, "calls").select("a", "b")
+    c = entry(spark, sf_dir, "calls")
+    return C.ready(c) if sharing() else c.select("a", "b")
 
 
 _CALLS = "calls AS (SELECT DISTINCT a, b FROM site)"
@@ -166,7 +167,7 @@ def cone_in(spark, sf_dir):
     ("site",), True, f"{_CALLS}, r(a, b) AS (SELECT a, b FROM calls UNION SELECT r.a, c.b FROM r JOIN calls c ON c.a = r.b)",
 )
 def recursive_nodes(spark, sf_dir):
-    return C.reach(calls(spark, sf_dir)).where("a = b").select(F.col("a").alias("node"))
+    return C.on_cycles(calls(spark, sf_dir)).select(F.col("a").alias("node"))
 
 
 @query(
@@ -259,7 +260,7 @@ def fan_out(spark, sf_dir):
 
 @query("SELECT b AS changed, count(DISTINCT a) AS callers FROM r GROUP BY b", ("site",), True, _ALL)
 def blast_radius(spark, sf_dir):
-    return C.reach(C.backward(calls(spark, sf_dir))).groupBy(F.col("a").alias("changed")).agg(F.count("*").alias("callers"))
+    return C.reached_by(calls(spark, sf_dir)).select(F.col("b").alias("changed"), F.col("n").alias("callers"))
 
 
 @query(

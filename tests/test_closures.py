@@ -55,3 +55,26 @@ def test_every_row_of_the_star_schema_is_a_fact(spark):
     items = spark.read.parquet(f"{path}/lineitem.parquet").count()
     chain = Q.entry(spark, path, "chain").count()
     assert sum(r["n"] for r in rows if r["kind"] == 1) == 2 * items + chain
+
+
+def test_large_graphs_are_walked_in_units_and_not_by_rounds(spark, monkeypatch):
+    """Two groups of callers that share what they call, and a unit too large for a task; no pairs but those of the result are made."""
+    from symlattice.operators import closure as C
+
+    edges = [(i, i + 1) for i in range(10, 16)] + [(16, 10)] + [(i, i + 1) for i in range(20, 24)] + [(i, 90 + i % 3) for i in (10, 12, 20, 23)] + [(90, 99)]
+    want = closure(edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for unit_edges, step in ((1000, 8_000_000), (5, 8_000_000), (1000, 4)):
+        monkeypatch.setattr(C, "UNIT_EDGES", unit_edges)
+        monkeypatch.setattr(C, "STEP_PAIRS", step)
+        assert sorted((r["a"], r["b"]) for r in C.reach(df, small=0).collect()) == sorted(want)
+        assert {r["b"]: r["n"] for r in C.reached_by(df, small=0).collect()} == {b: len({x for x, y in want if y == b}) for _, b in want}
+        assert {r["a"] for r in C.on_cycles(df, small=0).collect()} == set(range(10, 17))
+        if unit_edges == 1000:
+            with monkeypatch.context() as m:
+                m.setattr(C, "_reach_by_rounds", None)
+                assert C.reach(df, small=0).count() == len(want)
+    tree = spark.createDataFrame([(10, 11), (11, 12), (20, 21)], "a long, b long")
+    tops = spark.createDataFrame([(10,), (21,)], "x long")
+    unit = lambda c: (c / 10).cast("long")
+    assert {tuple(r) for r in C.reach(tree, tops, unit=unit).collect()} == {(10, 11, 1), (10, 12, 2)}
