@@ -84,3 +84,23 @@ def test_paths(spark):
     comps = spark.createDataFrame([("r::lib", "/work/lib/"), ("lib", "/other")], "name string, path string")
     assert {r["value"]: r["relinked"] for r in P.relinked(values, comps).collect()} == {"/r/lib/1.2/inc": "/work/lib/inc", "rel": "rel", "/usr/include/q": "/usr/include/q"}
     assert [(r["flag"], r["share"]) for r in facts.option_uniformity(opts).where("flag = '-O2'").collect()] == [("-O2", 1.0)]
+
+
+def test_tree_programs_walk_units_and_not_rounds(spark, monkeypatch):
+    """Descendants are found in one go, from functions only; what the units say is checked; hot types are sent."""
+    from symlattice import tree_queries as Q
+    from symlattice.operators import closure as C
+    from symlattice.plans import rules as R
+    from symlattice.sources import adapter
+
+    path, names = "/root/testdata/sf0.001", []
+    cut = R.cut
+    monkeypatch.setattr(R, "cut", lambda df, name="stage", **k: names.append(name) or cut(df, name, **k))
+    with adapter.shared():
+        assert Q.QUERIES["tree_metrics_body_size"](spark, path).count() == 697
+    assert not {"delta", "full"} & set(names)
+    # a unit that cuts the trees apart is not believed
+    child = [(1, 2), (2, 3), (10, 11)]
+    df = spark.createDataFrame(child, "a long, b long")
+    got = C.reach(df, unit=lambda c: c % 2)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(1, 2), (2, 3), (1, 3), (10, 11)}
