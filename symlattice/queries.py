@@ -23,7 +23,7 @@ from symlattice.schemas import ENTITY_EDGE_KIND, SYMBOL_KIND
 from symlattice import tree_queries
 from symlattice.sources.adapter import catalog, entry, expanded, sharing
 from symlattice.sources.store import Store
-from symlattice.staging import cut
+from symlattice.staging import cut, sent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -574,13 +574,13 @@ QUERIES["virtual_sites"] = virtual_sites
 def _first_step(spark, sf_dir) -> DataFrame:
     """(a): the first caller of a caller."""
     c = calls(spark, sf_dir)
-    return c.join(c.select(F.col("a").alias("b")).distinct(), "b", "left_semi").agg(F.min("a").alias("id"))
+    return cut(c.join(c.select(F.col("a").alias("b")).distinct(), "b", "left_semi").agg(F.min("a").alias("id")), "first", rows=1)
 
 
 def _second_step(spark, sf_dir) -> DataFrame:
     c = calls(spark, sf_dir)
-    first = c.join(_first_step(spark, sf_dir).withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("a"))
-    return c.join(first, "a", "left_semi").agg(F.max("b").alias("id"))
+    first = c.join(F.broadcast(_first_step(spark, sf_dir).withColumnRenamed("id", "a")), "a", "left_semi").select(F.col("b").alias("a"))
+    return cut(c.join(sent(cut(first, "second")), "a", "left_semi").agg(F.max("b").alias("id")), "second", rows=1)
 
 
 def _ids(*ids: int):
@@ -616,8 +616,9 @@ def rule(program: str, relation: str, sql: str, more: str = "", seeds=None, targ
     def run_(spark, sf_dir):
         c = catalog(spark, sf_dir)
         c = c.later("entity_edge", lambda: cut(R.entity_edges(c), "design"))
-        named = (programs.name_of(c, f(spark, sf_dir)) if f else None for f in (seeds, targets))
-        return programs.run(program, c, [relation], *named)[relation]
+        names = programs.coded(N.display_names(c))
+        named = (programs.name_of(c, f(spark, sf_dir), names) if f else None for f in (seeds, targets))
+        return programs.run(program, c, [relation], *named, names=names)[relation]
 
     name = f"dl_{program}_{relation}"
     QUERIES[name] = run_

@@ -279,3 +279,19 @@ def test_programs_on_the_seeded_graph(spark):
     way = programs.run("all_paths", c, ["path_node", "path_exists"], seeds=one("main()"), targets=one("compute()"))
     assert {r["node"] for r in way["path_node"].collect()} == {"main()", "helper()", "compute()"} and way["path_exists"].count() == 1
     assert programs.run("callgraph", c, ["reachable"])["reachable"].count() == 0
+
+
+def test_programs_run_on_numbers_and_names_come_last(spark, monkeypatch):
+    """Closures of calls see ids; a name that no symbol has stays; a name of two symbols is one node."""
+    from symlattice.plans import programs, rules
+
+    seen = []
+    reach = rules.reach
+    monkeypatch.setattr(rules, "reach", lambda e, *a, **k: seen.extend(f.dataType.typeName() for f in e.schema) or reach(e, *a, **k))
+    c = R.resolve(catalog(spark))
+    seeds = spark.createDataFrame([("helper()",), ("nobody",)], "name string")
+    assert {r["callee"] for r in programs.run("callgraph", c, ["call_edge"], seeds=seeds)["call_edge"].collect()} == {"compute()", "ext_fn()"}
+    assert seen == ["long", "long"]
+    assert pairs(programs.run("metrics", c, ["fan_out"], seeds=seeds)["fan_out"]) == {("helper()", 2), ("nobody", 0)}
+    twice = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "id long, name string")
+    assert pairs(programs.coded(twice)) == {(1, "f", 1), (2, "f", 1), (3, "g", 3)}
